@@ -2,10 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import table
+from sluice.llm.common import sha256_hex, table
+
+
+def _texts(parts: list[Column], sep: str = ":") -> Column:
+    return F.concat_ws(sep, *[p.cast("string") for p in parts])
+
+
+def _spans(found: str, order: tuple[str, str, str], base: tuple[str, ...] | None = None) -> Column:
+    """All spans of ``found``, or those of the base kinds, as one string."""
+    spans = F.col(found) if base is None else F.filter(found, lambda s: s["kind"].isin(*base))
+    return F.array_join(F.transform(spans, lambda s: _texts([s[c] for c in order])), ",")
+
+
+def _count(found: str, kind: str) -> Column:
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("bigint")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.learn_model(docs))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.winnow import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        sha256_hex(F.array_join("items", ",")).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm import pii
+
+    found = pii.scan(table(spark, sf_dir, "documents"))
+    order = ("kind", "start", "end")
+    return found.select(
+        "doc_id",
+        *[_count("found", k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        sha256_hex(_spans("found", order, pii.BASE_KINDS)).alias("base_sha256"),
+        _spans("found", order).alias("spans"),
+        F.array_join(F.transform("found", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm import secrets
+
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    order = ("kind", "start", "end")
+    return found.select(
+        "doc_id",
+        *[_count("found", k).alias(f"n_{k}") for k in secrets.BASE_KINDS],
+        sha256_hex(_spans("found", order, secrets.BASE_KINDS)).alias("base_sha256"),
+        _spans("found", order).alias("spans"),
+    )
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,8 +85,41 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_pii": op5_pii,
+    "op7_secrets": op7_secrets,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = (
+    "list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+)
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_benchmark_decontamination": rf"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 8) AS n, array_to_string(w[j:j + least(len(w), 8) - 1], ' ') AS k
+  FROM (SELECT item_id, w, unnest(generate_series(1, greatest(1, len(w) - 7))) AS j FROM items WHERE len(w) > 0)
+),
+docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+hits AS (
+  SELECT d.r, d.j, d.n, i.item_id
+  FROM (SELECT r, j, n, array_to_string(w[j:j + n - 1], ' ') AS k
+        FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS j
+              FROM docs, (SELECT DISTINCT n FROM item_windows))) d
+  JOIN item_windows i ON i.n = d.n AND i.k = d.k
+),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(j, j + n - 1)) AS p FROM hits) GROUP BY r),
+found AS (
+  SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM hits GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+""",
+}

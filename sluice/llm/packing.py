@@ -49,7 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                 while at < n:
                     length = (n - at) % capacity or capacity
                     crc = zlib.crc32(ids[4 * at : 4 * (at + length)])
-                    for column, value in zip(out, (doc_id, piece, at, length, crc, (crc ^ (at * 2654435761)) % PARTS)):
+                    for column, value in zip(out, (doc_id, piece, at, length, crc, (crc + (doc_id or 0) * 2654435761 + piece * 40503 >> 7) % PARTS)):
                         column.append(value)
                     at += length
                     piece += 1

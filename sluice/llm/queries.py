@@ -43,6 +43,12 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op4_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.edits import edited_counts
+
+    return edited_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm import pii
 
@@ -93,6 +99,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_edit_token_counts": op4_edit_token_counts,
     "op5_pii": op5_pii,
     "op6_chat_format": op6_chat_format,
     "op7_secrets": op7_secrets,

@@ -22,6 +22,13 @@ def _count(found: str, kind: str) -> Column:
     return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("bigint")
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.permindex import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm import langid
 
@@ -97,6 +104,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_permutation_index": op1_permutation_index,
     "op2_language_id": op2_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_edit_token_counts": op4_edit_token_counts,

@@ -26,7 +26,7 @@ PIVOTS = 256
 PREFIX = 64
 NEIGHBOURS = 20
 #: Share of a block that is ranked anew, and the least number of distinct vectors.
-RERANK_SHARE = 0.06
+RERANK_SHARE = 0.1
 RERANK_LEAST = 400
 INDEX_BLOCK = 16_384
 QUERY_BLOCK = 4_096
@@ -43,10 +43,22 @@ def valid_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def choose_pivots(rows: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """``n`` distinct vectors at most, drawn by a hash of their id from 4 n rows."""
+    """``n`` vectors at most, drawn by a hash of their id from 4 n rows and then spread out."""
     drawn = rows.select("v", F.xxhash64("vec_id", F.lit("pivot")).alias("h")).orderBy("h").limit(4 * n).collect()
-    distinct = dict.fromkeys(tuple(r["v"]) for r in drawn)
-    return np.array(list(distinct)[:n], np.float64)
+    return spread_out(np.array([r["v"] for r in drawn], np.float64), n)
+
+
+def spread_out(x: np.ndarray, n: int) -> np.ndarray:
+    """``n`` distinct rows at most, each the one whose direction is farthest from those before."""
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < n:
+        at = int(np.argmin(near))
+        if near[at] > 1 - 1e-9:
+            break
+        chosen.append(at)
+        near = np.maximum(near, unit @ unit[at])
+    return x[chosen]
 
 
 def _lengthened(x: np.ndarray, reach: float) -> np.ndarray:

@@ -97,6 +97,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hexed, "component_id")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sluice.llm.html import extract
+
+    return extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sluice.llm.packing import pack_documents
 
@@ -112,6 +118,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op7_secrets": op7_secrets,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 

@@ -11,8 +11,11 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.errors import AdmissionError, ContractError
+from sluice.functions import library
+from sluice.functions.sqltext import columns_of, parse_scalar
 
 # -- declarative comparisons: "column op literal" ------------------------------------------
 
@@ -162,90 +165,87 @@ def cast(value: Column, to: str, mode: str = "explicit") -> Column:
     return value.try_cast(to) if mode == "try" else value.cast(to)
 
 
-# -- admission ---------------------------------------------------------------------------
-
-#: Functions by family that resource queries may call: all deterministic and free of session state.
-FAMILIES: dict[str, str] = {
-    "math": "abs ceil ceiling floor round bround sqrt cbrt exp expm1 ln log log2 log10 log1p pow power sign signum greatest least pmod mod "
-    "sin cos tan asin acos atan atan2 sinh cosh tanh degrees radians factorial gcd hypot isnan nanvl width_bucket trunc positive negative",
-    "string": "lower lcase upper ucase trim btrim ltrim rtrim substring substr replace repeat concat concat_ws split_part length lpad rpad startswith endswith "
-    "contains translate chr ascii overlay strpos instr levenshtein soundex format_string find_in_set",
-    "unicode": "char_length character_length reverse left right initcap position locate octet_length bit_length",
-    "nested": "split string_to_array array array_size array_length list_length cardinality size array_contains array_position array_distinct array_union array_intersect "
-    "array_except array_remove array_repeat array_sort sort_array array_max array_min array_join array_append array_prepend array_compact arrays_overlap flatten element_at "
-    "get slice sequence struct named_struct map map_keys map_values map_contains_key map_entries arrays_zip",
-    "conditional": "nullif coalesce ifnull nvl nvl2 if case when isnull isnotnull",
-    "encoding": "encode decode hex unhex base64 unbase64 to_binary",
-    "datetime": "date_part datepart extract date_trunc to_timestamp to_timestamp_ntz to_date make_date make_timestamp make_timestamp_ntz year month day dayofmonth dayofweek dayofyear hour minute "
-    "second quarter weekofyear weekday last_day next_day date_add date_sub date_diff datediff add_months months_between unix_date unix_micros unix_millis unix_seconds "
-    "timestamp_micros timestamp_millis timestamp_seconds date_from_unix_date date_format",
-    "crypto": "md5 sha sha1 sha2 crc32 xxhash64 hash",
-    "regex": "regexp_like regexp rlike regexp_replace regexp_extract regexp_extract_all regexp_count regexp_instr regexp_substr like ilike",
-    "cast": "cast try_cast bigint int smallint tinyint double float decimal string boolean date timestamp binary",
-    "operators": "and or not between in isin div equal_null try_add try_subtract try_multiply try_divide shiftleft shiftright shiftrightunsigned bit_count",
-}
-ADMITTED = frozenset(name for names in FAMILIES.values() for name in names.split())
-
-#: Names of other engines and the Spark function that computes the same.
-RENAMED = {"string_to_array": "split", "array_length": "array_size", "list_length": "array_size", "strpos": "instr"}
-
-_CALL = re.compile(r"([A-Za-z_][A-Za-z0-9_]*)\s*\(")
-_CONSTANT_CALLS = re.compile(r"\b(current_date|current_time|current_timestamp|current_user|localtimestamp|now|session_user|user)\b(?!\s*[.=<>])", re.I)
-_STRUCTURE = re.compile(r"\b(select|from|join|group\s+by|having|order\s+by|limit|union|intersect|except|over|qualify|lateral|exists)\b", re.I)
-_SYNTAX = frozenset("values and or not in on as interval then else when case end between like ilike rlike is".split())
-
+# -- analysed expressions --------------------------------------------------------------
 
-def without_quotes(sql: str) -> str:
-    """The text with string literals, quoted names and comments blanked."""
-    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`[^`]*`|--[^\n]*|/\*.*?\*/", lambda m: " " * (m.end() - m.start()), sql, flags=re.S)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def admit(sql: str) -> str:
-    """Check one scalar SQL expression and return it with function names Spark knows.
+class Lowering:
+    """Turns parsed expressions over one DataFrame into columns.
 
-    Checked on the text as written, before anything is simplified: calls outside the admitted families,
-    session-dependent constants, and everything relational are refused.
+    Only admitted functions have a meaning here; what has none is refused before anything is
+    simplified.  Types are looked up in the frame's schema where an operator needs them.
     """
-    bare = without_quotes(sql)
-    if found := _STRUCTURE.search(bare):
-        raise AdmissionError(f"{found[0].upper()} is not a scalar expression")
-    if found := _CONSTANT_CALLS.search(bare):
-        raise AdmissionError(f"{found[0]} is not immutable")
-    for m in _CALL.finditer(bare):
-        name = m[1].lower()
-        if name not in ADMITTED and name not in _SYNTAX:
-            raise AdmissionError(f"function {name} is not admitted")
-    out, last = [], 0
-    for m in _CALL.finditer(bare):
-        if new := RENAMED.get(m[1].lower()):
-            out += [sql[last : m.start(1)], new]
-            last = m.end(1)
-    out = "".join(out) + sql[last:]
-    return _encode_hex(out)
-
-
-def _encode_hex(sql: str) -> str:
-    """``encode(x, 'hex')`` as lower-case hex text."""
-    return re.sub(r"\bencode\s*\(((?:[^()]|\([^()]*\))*?),\s*'hex'\s*\)", r"lower(hex(\1))", sql, flags=re.I)
-
-
-def scalar(sql: str) -> Column:
-    return F.expr(admit(sql))
-
-
-def filter_rows(df: DataFrame, predicate: str | Column) -> DataFrame:
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df = df
+        self.names = {f.name.lower(): f.name for f in df.schema}
+
+    def kind(self, column: Column) -> T.DataType:
+        return self.df.select(column.alias("x")).schema[0].dataType
+
+    def column(self, path) -> Column:
+        parts = (path,) if isinstance(path, str) else path
+        if parts[0].lower() not in self.names:
+            if parts[0].lower() in library.REFUSED:
+                raise AdmissionError(f"{parts[0]} is not immutable")
+            raise AdmissionError(f"no column {parts[0]}")
+        parts = (self.names[parts[0].lower()], *parts[1:])
+        return F.col(".".join(f"`{p.replace('`', '``')}`" for p in parts))
+
+    def lower(self, tree: tuple) -> Column:
+        what = tree[0]
+        if what == "lit":
+            return F.lit(tree[1])
+        if what == "col":
+            return self.column(tree[1])
+        if what == "op":
+            a, b = self.lower(tree[2]), self.lower(tree[3])
+            whole = tree[1] == "/" and isinstance(self.kind(a), _WHOLE) and isinstance(self.kind(b), _WHOLE)
+            return binary(tree[1], a, b, whole=whole)
+        if what == "unary":
+            return unary(tree[1], self.lower(tree[2]))
+        if what == "cast":
+            return cast(self.lower(tree[1]), library.type_name(tree[2]), tree[3])
+        if what == "in":
+            value, items = self.lower(tree[1]), tree[2]
+            if not items:
+                raise AdmissionError("IN needs a list")
+            return value.isin(*map(self.lower, items))
+        if what == "case":
+            arms, default = tree[1], tree[2]
+            out = F.when(self.lower(arms[0][0]), self.lower(arms[0][1]))
+            for test, value in arms[1:]:
+                out = out.when(self.lower(test), self.lower(value))
+            return out.otherwise(self.lower(default))
+        if what == "interval":
+            return F.expr("INTERVAL '" + tree[1].replace("'", "''") + "'")
+        if what == "call":
+            return library.call(tree[1], [self.lower(a) for a in tree[2]], tree[2])
+        raise AdmissionError(f"not an expression: {what}")
+
+
+def scalar(sql: str, df: DataFrame) -> Column:
+    """The column that one admitted scalar SQL expression means over ``df``."""
+    return Lowering(df).lower(parse_scalar(sql))
+
+
+def filter_rows(df: DataFrame, predicate: str | Column | tuple) -> DataFrame:
     """Rows for which ``predicate`` is true; it must be Boolean."""
-    column = scalar(predicate) if isinstance(predicate, str) else predicate
-    kind = df.select(column.alias("p")).schema[0].dataType.simpleString()
-    if kind != "boolean":
-        raise ContractError(f"a filter must be boolean, not {kind}")
+    if isinstance(predicate, str):
+        predicate = parse_scalar(predicate)
+    column = Lowering(df).lower(predicate) if isinstance(predicate, tuple) else predicate
+    kind = df.select(column.alias("p")).schema[0].dataType
+    if not isinstance(kind, T.BooleanType):
+        raise ContractError(f"a filter must be boolean, not {kind.simpleString()}")
     return df.where(column)
 
 
-def project(df: DataFrame, outputs: Sequence[tuple[str, str]], where: str | None = None) -> DataFrame:
+def project(df: DataFrame, outputs: Sequence[tuple[str, str | tuple]], where: str | tuple | None = None) -> DataFrame:
     """Filter first, then compute (name, expression) outputs.
 
-    Outputs must be there and differ in name; a column passed through keeps its metadata.
+    Outputs must be there and differ in name; a column passed through keeps its metadata, except
+    that its source's name goes when it gets another.
     """
     names = [name.lower() for name, _ in outputs]
     if not names:
@@ -254,13 +254,19 @@ def project(df: DataFrame, outputs: Sequence[tuple[str, str]], where: str | None
         raise ContractError("two outputs have one name")
     if where is not None:
         df = filter_rows(df, where)
-    fields = {f.name: f for f in df.schema}
+    lowering, fields = Lowering(df), {f.name: f for f in df.schema}
     columns = []
-    for name, sql in outputs:
-        source = fields.get(sql.strip().strip("`"))
+    for name, expression in outputs:
+        tree = parse_scalar(expression) if isinstance(expression, str) else expression
+        source = fields.get(lowering.names.get(tree[1].lower(), "")) if tree[0] == "col" and isinstance(tree[1], str) else None
         if source is not None:
             kept = {k: v for k, v in (source.metadata or {}).items() if k != "source_name" or name == source.name}
             columns.append(F.col(f"`{source.name}`").alias(name, metadata=kept))
         else:
-            columns.append(scalar(sql).alias(name))
+            columns.append(lowering.lower(tree).alias(name))
     return df.select(*columns)
+
+
+def needed_columns(expressions: Sequence[str]) -> set[str]:
+    """Columns that all these expressions read together: what a scan must give."""
+    return set().union(*(columns_of(parse_scalar(e)) for e in expressions)) if expressions else set()

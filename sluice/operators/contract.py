@@ -35,13 +35,19 @@ class Verdict(enum.Enum):
 
 @dataclass(frozen=True)
 class TrustPreset:
-    """What a level of trust does with rows that break a rule, and how deep it looks."""
+    """What a level of trust does with rows and fields that do not fit, and how deep it looks."""
 
     name: str
     violation: Verdict
+    field: str = "capture_variant"
     depth: str = "full"
+    freshness_slo: bool = False
     require_receipts: bool = False
+    reconciliation_counts: bool = False
     full_lineage: bool = False
+    nested: str = "capture_variant"
+    retention: str = "package_retained"
+    clean_runs_required: int = 3
 
     def verdicts(self) -> dict[Outcome, Verdict]:
         table = {o: Verdict.ACCEPT for o in (Outcome.PASS, Outcome.COERCED, Outcome.ADMITTED_AS_VARIANT)}
@@ -49,10 +55,12 @@ class TrustPreset:
 
 
 TRUST = {
-    "experimental": TrustPreset("experimental", Verdict.REJECT_RUN, depth="discovery"),
+    "experimental": TrustPreset("experimental", Verdict.REJECT_RUN, retention="ephemeral"),
     "governed": TrustPreset("governed", Verdict.QUARANTINE),
-    "financial": TrustPreset("financial", Verdict.REJECT_RUN, require_receipts=True, full_lineage=True),
-    "serving": TrustPreset("serving", Verdict.QUARANTINE, depth="sampled_fast_path"),
+    "financial": TrustPreset(
+        "financial", Verdict.REJECT_RUN, field="fail_run", require_receipts=True, reconciliation_counts=True, full_lineage=True, nested="keep", retention="long"
+    ),
+    "serving": TrustPreset("serving", Verdict.QUARANTINE, depth="sampled_fast_path", freshness_slo=True),
 }
 
 
@@ -62,11 +70,11 @@ def check_total(table: dict[Outcome, Verdict]) -> dict[Outcome, Verdict]:
     return table
 
 
-def validation_depth(preset: TrustPreset, clean_runs: int, *, drift: bool = False, anomaly: bool = False, quarantined: int = 0, needed: int = 3) -> str:
-    """The fast path is earned by ``needed`` clean runs and lost by drift, anomalies or quarantine."""
+def validation_depth(preset: TrustPreset, clean_runs: int, *, drift: bool = False, anomaly: bool = False, quarantined: int = 0) -> str:
+    """The fast path is earned by enough clean runs and lost by drift, anomalies or quarantine."""
     if preset.depth != "sampled_fast_path":
         return preset.depth
-    return "full" if drift or anomaly or quarantined or clean_runs < needed else "sampled_fast_path"
+    return "full" if drift or anomaly or quarantined or clean_runs < preset.clean_runs_required else "sampled_fast_path"
 
 
 _TEXT, _TIMES = (T.StringType,), (T.TimestampType, T.TimestampNTZType)
@@ -233,6 +241,17 @@ class Contract:
         return [x for r in self.rules for x in r.lints()]
 
 
+def implied_rules(schema: T.StructType, rules: Sequence[Rule] = ()) -> tuple[Rule, ...]:
+    """``rules``, after a nullability rule for every field that must not be null and has none."""
+    named = {r.column for r in rules if isinstance(r, Nullability)}
+    return (*(Nullability(f"{f.name}_not_null", f.name) for f in schema if not f.nullable and f.name not in named), *rules)
+
+
+def sampled(df: DataFrame, keys: Sequence[str], one_in: int) -> DataFrame:
+    """The rows that sampled validation looks at: chosen by a hash of ``keys``, so the same ones each run."""
+    return df.where(F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0)
+
+
 _VIOLATION = "array<struct<rule_id:string,error_code:string,column:string,value:string>>"
 
 

@@ -52,11 +52,11 @@ class Folder:
         finally:
             stream.close()
         final = self._at(name)
-        if overwrite and self._fs.exists(final):
-            self._fs.delete(final, False)
-        if not self._fs.rename(part, final):
-            self._fs.delete(part, False)
-            raise FileExistsError(f"{self.path}/{name}")
+        kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE if overwrite else kinds.NONE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(part, final, how)
 
     def list(self, name: str = "") -> list[tuple[str, int, int, bool]]:
         """(name, bytes, change time in ms, is a folder) of what lies in a folder, by name."""

@@ -133,7 +133,7 @@ def reaches(a, b) -> bool:
 def to_json(position) -> str:
     def plain(p):
         body = {"parts": [[k, plain(v)] for k, v in p.parts]} if isinstance(p, Composite) else asdict(p)
-        return {"kind": type(p).__name__.lower(), **body}
+        return {"position": type(p).__name__.lower(), **body}
 
     return json.dumps(plain(position), sort_keys=True, separators=(",", ":"))
 
@@ -141,7 +141,7 @@ def to_json(position) -> str:
 def from_json(text: str):
     def build(d: dict):
         d = dict(d)
-        kind = KINDS[d.pop("kind")]
+        kind = KINDS[d.pop("position")]
         if kind is Composite:
             return Composite(tuple((k, build(v)) for k, v in d["parts"]))
         if kind is Files:

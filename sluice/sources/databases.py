@@ -6,6 +6,7 @@ inexactly goes there too, to save transfer, and Spark filters again.
 
 from __future__ import annotations
 
+import json
 import sqlite3
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -147,17 +148,8 @@ class SqliteSource(DataSource):
 
 class _SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema: T.StructType) -> None:
-        self.options, self.schema, self.tests, self.values = options, schema, [], []
-
-    def pushFilters(self, filters) -> Iterator:
-        """Comparisons go to SQLite to save transfer; its typing is loose, so Spark applies all again."""
-        signs = {"EqualTo": "=", "GreaterThan": ">", "GreaterThanOrEqual": ">=", "LessThan": "<", "LessThanOrEqual": "<="}
-        for f in filters:
-            sign = signs.get(type(f).__name__)
-            if sign and len(f.attribute) == 1 and isinstance(f.value, (int, float)) and not isinstance(f.value, bool):
-                self.tests.append(f"{quoted(f.attribute[0], 'sqlite')} {sign} ?")
-                self.values.append(f.value)
-            yield f
+        self.options, self.schema = options, schema
+        self.tests = json.loads(options.get("tests", "[]"))
 
     def _base(self) -> str:
         return quoted(self.options["table"], "sqlite") if "table" in self.options else f"({self.options['query']})"
@@ -174,7 +166,7 @@ class _SqliteReader(DataSourceReader):
         return [_Range(low + i * step, low + (i + 1) * step) for i in range(n)]
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        tests, values = list(self.tests), list(self.values)
+        tests, values = list(self.tests), []
         if partition.low is not None:
             tests.append("rowid >= ? AND rowid < ?")
             values += [partition.low, partition.high]
@@ -187,8 +179,14 @@ class _SqliteReader(DataSourceReader):
                 yield tuple(None if v is None else c(v) for v, c in zip(row, casts))
 
 
-def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, partitions: int = 1) -> DataFrame:
+def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query: str | None = None, partitions: int = 1, filters: Sequence[str] = ()) -> DataFrame:
+    """A table or query; ``filters`` ("column op literal") go to SQLite to save transfer, and, its typing being loose, Spark applies them again.
+
+    They are options rather than filters that Spark pushes down: a Python source keeps what was pushed into it,
+    and the same DataFrame read again without the filter would still lack the rows.
+    """
     spark.dataSource.register(SqliteSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    options = {"path": path, "partitions": partitions} | ({"table": table} if table else {"query": query})
-    return spark.read.format("sluice_sqlite").options(**options).load()
+    parsed = [parse_comparison(text) for text in filters]
+    tests = [f"{quoted(c, 'sqlite')} {op} {literal(v, 'sqlite')}" for c, op, v in parsed if pushdown(SOURCES["sqlite"], op) != "unsupported" and isinstance(v, (int, float))]
+    options = {"path": path, "partitions": partitions, "tests": json.dumps(tests)} | ({"table": table} if table else {"query": query})
+    return _applied(spark.read.format("sluice_sqlite").options(**options).load(), Scan(table or ""), list(filters))

@@ -101,7 +101,7 @@ def read_delimited(
     encoding: str = "auto",
 ) -> DataFrame:
     """Delimited text; all columns are texts unless a schema is given.  Short rows fail unless ``truncated_rows``."""
-    options = {"sep": delimiter, "header": header, "quote": quote, "escape": escape, "encoding": _encoding(encoding), "enforceSchema": not (header and header_validation)}
+    options = {"sep": delimiter, "header": header, "quote": quote, "escape": escape, "encoding": _encoding(encoding, spark), "enforceSchema": not (header and header_validation)}
     options["mode"] = "PERMISSIVE" if truncated_rows else "FAILFAST"
     if terminator is not None:
         options["lineSep"] = terminator
@@ -121,7 +121,7 @@ def read_fixed_width(
     if unit not in ("char", "byte"):
         raise ContractError(f"unknown unit {unit}")
     _refuse_undecoded(paths)
-    lines = spark.read.text(paths) if _encoding(encoding) == "UTF-8" else spark.read.option("encoding", _encoding(encoding)).csv(paths, sep="\x00", quote="", schema="value string")
+    lines = spark.read.text(paths) if _encoding(encoding, spark) == "UTF-8" else spark.read.option("encoding", _encoding(encoding)).csv(paths, sep="\x00", quote="", schema="value string")
     out = []
     for name, start, length in layout:
         if unit == "char":
@@ -198,9 +198,11 @@ def json_type(value) -> T.DataType:
     return T.StructType([T.StructField(k, json_type(v)) for k, v in value.items()])
 
 
-def _encoding(name: str) -> str:
+def _encoding(name: str, spark: SparkSession | None = None) -> str:
     if name not in _ENCODINGS:
         raise ContractError(f"unknown encoding {name}")
+    if name == "windows-1252" and spark is not None:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else readers know seven charsets only
     return _ENCODINGS[name]
 
 

@@ -23,13 +23,16 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str], name: str = "_ordinal")
     """
     if not order_by:
         raise ContractError("package order needs columns")
-    dealt = cut(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by).withColumn("__part", F.spark_partition_id()))
-    counts = dealt.groupBy("__part").count()
+    dealt = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    # task number and place in the task, fixed by the written copy: no second shuffle and no window
+    dealt = cut(dealt.withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33).alias("__part")
+    counts = dealt.groupBy(part).count()
     before = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__part", before.alias("__start"))  # a row for each task at most
-    within = F.row_number().over(W.partitionBy("__part").orderBy(*order_by)) - 1
-    numbered = dealt.withColumn("__within", within).join(F.broadcast(starts), "__part")
-    return numbered.withColumn(name, (F.col("__start") + F.col("__within")).cast("bigint")).drop("__part", "__start", "__within")
+    starts = counts.select(F.col("__part").alias("__of"), before.alias("__start"))  # a row for each task at most
+    numbered = dealt.join(F.broadcast(starts), F.shiftright("__at", 33) == F.col("__of"))
+    within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.withColumn(name, (F.col("__start") + within).cast("bigint")).drop("__at", "__of", "__start")
 
 
 def with_segment(ordered: DataFrame, target_rows: int = TARGET_ROWS, ordinal: str = "_ordinal", name: str = "_segment") -> DataFrame:

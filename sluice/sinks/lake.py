@@ -24,6 +24,8 @@ from sluice.plans.resource import DESTINATIONS, Delete
 from sluice.storage import Folder, cut
 
 BUCKETS = 64
+#: Rows of a package up to which its keys are broadcast to the target's rows; beyond, both are shuffled.
+BROADCAST_KEYS = 1_000_000
 _BUCKET = "__bucket"
 
 
@@ -45,17 +47,18 @@ def _bucket(keys: Sequence[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(buckets)).cast("int")
 
 
-def check_keys(stage: DataFrame, keys: Sequence[str]) -> None:
-    """Merge keys are there, not null, and unique in a package."""
+def check_keys(stage: DataFrame, keys: Sequence[str]) -> int:
+    """The rows of a package whose merge keys are there, not null and unique; else an error."""
     if missing := [k for k in keys if k not in stage.columns]:
         raise DeliveryError(f"merge key {missing} is not in the package")
     some_null = F.bool_or(F.greatest(*[F.col(f"`{k}`").isNull() for k in keys], F.lit(False)))
     counted = stage.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    found = counted.agg(F.coalesce(some_null, F.lit(False)).alias("nulls"), F.coalesce(F.max("__n"), F.lit(0)).alias("most")).first()
+    found = counted.agg(F.coalesce(some_null, F.lit(False)).alias("nulls"), F.coalesce(F.max("__n"), F.lit(0)).alias("most"), F.coalesce(F.sum("__n"), F.lit(0)).alias("rows")).first()
     if found["nulls"]:
         raise DeliveryError(f"null in the merge key {list(keys)}")
     if found["most"] > 1:
         raise DeliveryError(f"repeated merge key {list(keys)} in one package")
+    return found["rows"]
 
 
 def merged_rows(target: DataFrame, stage: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -191,7 +194,7 @@ class Lake:
 
     def _keyed(self, target: str, package: DataFrame, keys: Sequence[str], delete: Delete | None, op: str, buckets: int) -> tuple[dict, dict]:
         stage = cut(package)
-        check_keys(stage, keys)
+        total = check_keys(stage, keys)
         columns = [c for c in stage.columns if delete is None or c != op]
         if delete is not None and delete.policy == "soft":
             if delete.marker not in columns:
@@ -205,27 +208,39 @@ class Lake:
         n = pointer["buckets"]
         touched = sorted(r[0] for r in stage.select(_bucket(keys, n)).distinct().collect())  # a number for each bucket at most
         current = self._rows(pointer, [pointer["paths"].get(str(b), []) for b in touched])
-        if delete is None:
-            after = merged_rows(current, stage, keys, names)
-        else:
-            after = applied_changes(current, stage, keys, names, op, delete)
+        gone = F.lit(False) if delete is None else F.col(f"`{op}`") == "delete"
+        small = total <= BROADCAST_KEYS
+        marks = stage.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], gone.alias("__gone"))
+        on = [F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        marked = current.join(F.broadcast(marks) if small else marks, on, "left").withColumn(_BUCKET, _bucket(keys, n))
+        if not small:
+            marked = marked.repartition(_BUCKET)
+        # counted in the stage that writes, whose tasks count once however often they are tried
         seen = Observation()
-        kinds = ("inserted", "updated", "hard_deleted", "soft_deleted", "missing_delete", "ignored_delete")
-        after = after.observe(seen, *[F.sum((F.col("__change") == k).cast("long")).alias(k) for k in kinds])
+        matched = F.col("__gone").isNotNull()
+        marked = marked.observe(seen, F.sum((matched & ~F.col("__gone")).cast("long")).alias("updated"), F.sum((matched & F.col("__gone")).cast("long")).alias("deleted"))
+        policy = "none" if delete is None else delete.policy
+        keep = ~matched if policy in ("none", "hard") else ~matched | F.col("__gone")
+        kept = marked.where(keep)
+        if policy == "soft":
+            kept = kept.withColumn(delete.marker, F.when(F.col("__gone"), True).otherwise(F.col(f"`{delete.marker}`")))
+        fresh = stage.where(~gone).withColumn(_BUCKET, _bucket(keys, n))
+        if policy == "soft":
+            fresh = fresh.withColumn(delete.marker, F.lit(False))
         path = self._new(target)
-        gone = ("hard_deleted", "missing_delete")
-        out = after.where(~F.col("__change").isin(*gone)).drop("__change").withColumn(_BUCKET, _bucket(keys, n))
-        out.repartition(_BUCKET).write.partitionBy(_BUCKET).option("compression", "zstd").parquet(f"{self.root}/{path}")
+        out = kept.select(*names, _BUCKET).unionByName(fresh.select(*names, _BUCKET).repartition(_BUCKET))
+        out.write.partitionBy(_BUCKET).option("compression", "zstd").parquet(f"{self.root}/{path}")
         written = {name for name, *_ in self.folder.list(path)}
         for b in touched:
             part = f"{_BUCKET}={b}"
             pointer["paths"][str(b)] = [f"{path}/{part}"] if part in written else []
-        counts = {k: seen.get[k] or 0 for k in kinds}
+        updated, deleted = seen.get["updated"] or 0, seen.get["deleted"] or 0
         if delete is None:
-            counts = {"kind": "keyed", "rows_written": counts["inserted"] + counts["updated"], "inserted": counts["inserted"], "updated": counts["updated"]}
-        else:
-            counts = {"kind": "keyed", **counts}
-        return pointer, counts
+            return pointer, {"kind": "keyed", "rows_written": total, "inserted": total - updated, "updated": updated}
+        deletes = stage.where(gone).count()
+        counts = {"inserted": total - deletes - updated, "updated": updated, "hard_deleted": 0, "soft_deleted": 0, "ignored_delete": 0, "missing_delete": deletes - deleted}
+        counts[{"hard": "hard_deleted", "soft": "soft_deleted", "ignore": "ignored_delete"}[policy]] = deleted
+        return pointer, {"kind": "keyed", **counts}
 
     def _rebucketed(self, target: str, pointer: dict, keys: Sequence[str], buckets: int) -> dict:
         """Lay an existing target out by another key, once."""

@@ -11,8 +11,9 @@ import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.errors import DeliveryError
 from sluice.operators.schema import fingerprint
@@ -33,16 +34,24 @@ class Package:
     row_count: int
 
 
+def _row_hashes(schema: T.StructType) -> list[Column]:
+    """Aggregates a, b and n: two sums of row hashes, and the rows."""
+    columns = [F.col(f"`{f.name}`") if f.dataType.typeName() != "map" else F.array_sort(F.map_entries(f"`{f.name}`")) for f in schema]
+    shapes = [c.cast("string") if f.dataType.typeName() == "variant" else c for c, f in zip(columns, schema)]
+    marks = F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])
+    a = F.xxhash64(F.lit(1), marks, *shapes).cast("decimal(38,0)")
+    b = F.xxhash64(F.lit(2), *shapes[::-1], marks).cast("decimal(38,0)")
+    return [F.sum(a).alias("a"), F.sum(b).alias("b"), F.count(F.lit(1)).alias("n")]
+
+
+def _digest(schema: T.StructType, sums) -> tuple[str, int]:
+    text = f"{schema.simpleString()}|{sums['a'] or 0}|{sums['b'] or 0}|{sums['n']}"
+    return hashlib.sha256(text.encode()).hexdigest(), sums["n"]
+
+
 def content_hash(df: DataFrame) -> tuple[str, int]:
-    """(hash of schema and rows, row count), the same for any order and partitioning."""
-    columns = [F.col(f"`{f.name}`") if f.dataType.typeName() != "map" else F.array_sort(F.map_entries(f"`{f.name}`")) for f in df.schema]
-    shapes = [c.cast("string") if f.dataType.typeName() == "variant" else c for c, f in zip(columns, df.schema)]
-    marks = [F.concat(*[F.when(c.isNull(), F.lit("1")).otherwise(F.lit("0")) for c in columns])]
-    a = F.xxhash64(F.lit(1), *marks, *shapes).cast("decimal(38,0)")
-    b = F.xxhash64(F.lit(2), *shapes[::-1], *marks).cast("decimal(38,0)")
-    row = df.agg(F.sum(a).alias("a"), F.sum(b).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    text = f"{fingerprint(df.schema)}|{row['a'] or 0}|{row['b'] or 0}|{row['n']}"
-    return hashlib.sha256(text.encode()).hexdigest(), row["n"]
+    """(hash of names, types and rows, row count), the same for any order and partitioning."""
+    return _digest(df.schema, df.agg(*_row_hashes(df.schema)).first().asDict())
 
 
 class Packages:
@@ -64,22 +73,23 @@ class Packages:
             return self.open(package_id)
         self.folder.delete(package_id)
         base = f"{self.root}/{package_id}"
-        out = rows
+        out = with_segment(with_ordinal(rows, order_by), target_rows).drop("_ordinal") if order_by else rows
+        seen = Observation()
+        writer = out.observe(seen, *_row_hashes(rows.schema)).write.option("compression", "zstd")  # hashed by the tasks that write
         if order_by:
-            out = with_segment(with_ordinal(rows, order_by), target_rows).drop("_ordinal")
-            out.write.partitionBy("_segment").option("compression", "zstd").parquet(f"{base}/segments")
+            writer.partitionBy("_segment").parquet(f"{base}/segments")
         else:
-            out.write.option("maxRecordsPerFile", target_rows).option("compression", "zstd").parquet(f"{base}/segments")
-        written = self.spark.read.parquet(f"{base}/segments")
-        plain = written.select(*rows.columns)
+            writer.option("maxRecordsPerFile", target_rows).parquet(f"{base}/segments")
         if statistics:
-            stats = segment_and_package(written, "_segment") if order_by else profile(plain)
+            written = self.spark.read.parquet(f"{base}/segments")
+            stats = segment_and_package(written, "_segment") if order_by else profile(written.select(*rows.columns))
             stats.write.parquet(f"{base}/statistics")
         quarantined = 0
         if quarantine is not None:
-            quarantine.write.parquet(f"{base}/quarantine")
-            quarantined = self.spark.read.parquet(f"{base}/quarantine").count()
-        digest, n = content_hash(plain)
+            counted = Observation()
+            quarantine.observe(counted, F.count(F.lit(1)).alias("n")).write.parquet(f"{base}/quarantine")
+            quarantined = counted.get["n"]
+        digest, n = _digest(rows.schema, seen.get)
         manifest = {
             "package_id": package_id, "package_hash": digest, "schema_hash": fingerprint(rows.schema), "schema": json.loads(rows.schema.json()), "row_count": n,
             "quarantined": quarantined, "status": "packaged", "segments": self._segments(package_id), "lineage": list(lineage),

@@ -10,6 +10,7 @@ import enum
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -270,20 +271,26 @@ def redacted(value: Column, decision: str | None) -> Column:
     raise ContractError(f"unknown redaction: {decision}")
 
 
-def with_violations(df: DataFrame, contract: Contract, column: str = "violations") -> DataFrame:
-    """``df`` and, per row, the rules it breaks, in rule order."""
+def _predicates(df: DataFrame, contract: Contract) -> list[Column]:
+    """For each rule whether a row breaks it: true or false, never null."""
     kinds = {f.name: f.dataType for f in df.schema}
-    found = []
     for rule in contract.rules:
         if rule.column not in kinds:
             raise ContractError(f"{rule.rule_id}: no column {rule.column}")
+    return [rule.violated(kinds[rule.column]) for rule in contract.rules]
+
+
+def with_violations(df: DataFrame, contract: Contract, column: str = "violations") -> DataFrame:
+    """``df`` and, per row, the rules it breaks, in rule order."""
+    found = []
+    for rule, violated in zip(contract.rules, _predicates(df, contract)):
         entry = F.struct(
             F.lit(rule.rule_id).alias("rule_id"),
             F.lit(rule.code).alias("error_code"),
             F.lit(rule.column).alias("column"),
             redacted(rule.value(), contract.redact.get(rule.column)).alias("value"),
         )
-        found.append(F.when(rule.violated(kinds[rule.column]), entry))
+        found.append(F.when(violated, entry))
     every = F.array_compact(F.array(*found)) if found else F.array()
     return df.withColumn(column, every.cast(_VIOLATION))
 
@@ -292,36 +299,49 @@ def with_violations(df: DataFrame, contract: Contract, column: str = "violations
 class Validated:
     """Accepted rows, one evidence row per broken rule, and the counts of the verdict."""
 
+    rows: DataFrame
     accepted: DataFrame
     quarantine: DataFrame
-    marked: DataFrame
     contract: Contract
+    predicates: list[Column]
+
+    @property
+    def broken(self) -> Column:
+        return reduce(lambda a, b: a | b, self.predicates, F.lit(False))
 
     def summary(self) -> DataFrame:
-        """input_rows, accepted_rows and quarantined_rows in one pass without a row leaving the executors."""
-        bad = F.size("violations") > 0
-        return self.marked.agg(
+        """input_rows, accepted_rows and quarantined_rows in one pass; only counts leave the tasks."""
+        return self.rows.agg(
             F.count(F.lit(1)).alias("input_rows"),
-            F.coalesce(F.sum((~bad).cast("long")), F.lit(0)).alias("accepted_rows"),
-            F.coalesce(F.sum(bad.cast("long")), F.lit(0)).alias("quarantined_rows"),
+            F.count(F.when(~self.broken, 1)).alias("accepted_rows"),
+            F.count(F.when(self.broken, 1)).alias("quarantined_rows"),
         )
 
     def violations_by_rule(self) -> DataFrame:
-        ids = self.marked.sparkSession.createDataFrame([(r.rule_id,) for r in self.contract.rules], "rule_id string")
-        counts = self.marked.select(F.explode("violations.rule_id").alias("rule_id")).groupBy("rule_id").count()
-        return F.broadcast(ids).join(counts, "rule_id", "left").select("rule_id", F.coalesce("count", F.lit(0)).alias("violations"))
+        """rule_id and violations of every rule, from one aggregate."""
+        counts = self.rows.agg(*[F.count(F.when(p, 1)).alias(f"n{i}") for i, p in enumerate(self.predicates)] or [F.lit(0).alias("none")])
+        pairs = [F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"n{i}").alias("violations")) for i, r in enumerate(self.contract.rules)]
+        return counts.select(F.explode(F.array(*pairs)).alias("p")).select("p.*") if pairs else counts.where(F.lit(False)).select(F.lit("").alias("rule_id"), F.lit(0).cast("bigint").alias("violations"))
 
     def enforce(self) -> "Validated":
-        """Raise if the trust preset rejects a run with violations."""
+        """Raise if the trust preset rejects a run with violations; looks no further than the first."""
         verdict = self.contract.trust.verdicts()[Outcome.VIOLATION]
-        if verdict in (Verdict.REJECT_RUN, Verdict.REJECT_BATCH) and not self.marked.where(F.size("violations") > 0).isEmpty():
+        if verdict in (Verdict.REJECT_RUN, Verdict.REJECT_BATCH) and self.predicates and not self.rows.where(self.broken).isEmpty():
             raise ContractError(f"rows break the contract, and trust {self.contract.trust.name} rejects the run")
         return self
 
 
 def validate(df: DataFrame, contract: Contract, ordinal: Sequence[str] = ()) -> Validated:
-    """Split ``df`` by ``contract``; ``ordinal`` columns identify rows in the evidence."""
-    marked = with_violations(df, contract)
-    accepted = marked.where(F.size("violations") == 0).drop("violations")
-    evidence = marked.where(F.size("violations") > 0).select(*ordinal, F.explode("violations").alias("v")).select(*ordinal, "v.*")
-    return Validated(accepted, evidence, marked, contract)
+    """Split ``df`` by ``contract``; ``ordinal`` columns identify rows in the evidence.
+
+    Accepted rows pass plain predicates, which stay in generated code and reach the scan; evidence is built for
+    the broken rows alone.
+    """
+    predicates = _predicates(df, contract)
+    accepted = df
+    for p in predicates:
+        accepted = accepted.where(~p)
+    broken = reduce(lambda a, b: a | b, predicates, F.lit(False))
+    marked = with_violations(df.where(broken), contract)
+    evidence = marked.select(*ordinal, F.explode("violations").alias("v")).select(*ordinal, "v.*")
+    return Validated(df, accepted, evidence, contract, predicates)

@@ -22,25 +22,24 @@ _BOUNDED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T
 PROFILE = "column string, row_count bigint, null_count bigint, minimum string, maximum string, complete boolean"
 
 
-def _bounds(f: T.StructField) -> tuple[Column, Column, Column]:
-    """(minimum, maximum, complete) aggregates; NaN, infinity and unordered types leave no bounds."""
-    value = F.col(f"`{f.name}`")
-    if not isinstance(f.dataType, _BOUNDED):
-        return F.lit(None), F.lit(None), F.lit(False)
-    if isinstance(f.dataType, _FLOATS):
-        odd = F.isnan(value) | value.isin(math.inf, -math.inf)
-        return F.min(value), F.max(value), ~F.coalesce(F.bool_or(odd), F.lit(False))
-    return F.min(value), F.max(value), F.lit(True)
+def _aggregates(fields: Sequence[T.StructField]) -> list[Column]:
+    """Counts, typed bounds and, as sets, what spoils bounds: NaN, infinity, or a type without an order.
 
-
-def profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``by`` columns and one row per column: counts, bounds as texts, and whether the bounds are complete."""
-    fields = [f for f in df.schema if f.name not in by]
-    aggregates = [F.count(F.lit(1)).alias("rows")]
+    With a set among the aggregates groups are hashed; text bounds alone would have Spark sort the rows.
+    """
+    out = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
-        low, high, complete = _bounds(f)
-        aggregates += [F.count(F.col(f"`{f.name}`")).alias(f"n{i}"), low.alias(f"lo{i}"), high.alias(f"hi{i}"), complete.alias(f"ok{i}")]
-    wide = df.groupBy(*by).agg(*aggregates)
+        value = F.col(f"`{f.name}`")
+        bounded = isinstance(f.dataType, _BOUNDED)
+        odd = F.lit(not bounded)
+        if isinstance(f.dataType, _FLOATS):
+            odd = F.isnan(value) | value.isin(math.inf, -math.inf)
+        out += [F.count(value).alias(f"n{i}"), F.min(value if bounded else F.lit(None)).alias(f"lo{i}"), F.max(value if bounded else F.lit(None)).alias(f"hi{i}")]
+        out.append((F.size(F.collect_set(F.when(odd, True))) == 0).alias(f"ok{i}"))
+    return out
+
+
+def _tall(wide: DataFrame, fields: Sequence[T.StructField], by: Sequence[str]) -> DataFrame:
     parts = [
         F.struct(
             F.lit(f.name).alias("column"),
@@ -55,32 +54,52 @@ def profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return wide.select(*by, F.explode(F.array(*parts)).alias("p")).select(*by, "p.*")
 
 
-def merge_profiles(profiles: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Join profiles (PROFILE rows, any grain) to one per column; one incomplete part makes the whole incomplete."""
-    out = []
-    for column, kind in kinds.items():
-        rows = profiles.where(F.col("column") == column)
-        complete = F.coalesce(F.bool_and("complete"), F.lit(True))
-        agg = rows.groupBy("column").agg(
-            F.sum("row_count").alias("row_count"),
-            F.sum("null_count").alias("null_count"),
-            F.when(complete, F.min(F.col("minimum").cast(kind)).cast("string")).alias("minimum"),
-            F.when(complete, F.max(F.col("maximum").cast(kind)).cast("string")).alias("maximum"),
-            complete.alias("complete"),
-        )
-        out.append(agg)
-    merged = out[0]
-    for part in out[1:]:
-        merged = merged.unionByName(part)
-    return merged
+def profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``by`` columns and one row per column: counts, bounds as texts, and whether the bounds are complete."""
+    fields = [f for f in df.schema if f.name not in by]
+    return _tall(df.groupBy(*by).agg(*_aggregates(fields)), fields, by)
 
 
 def segment_and_package(df: DataFrame, segment: str) -> DataFrame:
-    """Profiles of every segment and, with a null segment, of the package, from one scan of the data."""
-    segments = profile(df, [segment])
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema if f.name != segment}
-    whole = merge_profiles(segments, kinds).withColumn(segment, F.lit(None).cast(df.schema[segment].dataType))
-    return segments.unionByName(whole)
+    """Profiles of every segment and, with a null segment, of the package.
+
+    The data are read once; the package's profile comes from the segments' rows, one a segment.  One incomplete
+    segment leaves the package without bounds.
+    """
+    fields = [f for f in df.schema if f.name != segment]
+    wide = df.groupBy(segment).agg(*_aggregates(fields))
+    merged = [F.sum("rows").alias("rows")]
+    for i in range(len(fields)):
+        merged += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"), F.bool_and(f"ok{i}").alias(f"ok{i}")]
+    return _tall(wide.rollup(segment).agg(*merged), fields, [segment])
+
+
+def merge_profiles(profiles: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Stored profiles (PROFILE rows, any grain) joined to one row per column, in one pass.
+
+    Counts add up; one incomplete part makes the whole incomplete, and its bounds go for good.
+    """
+    aggregates, parts = [], []
+    for i, (column, kind) in enumerate(kinds.items()):
+        own = F.col("column") == column
+        aggregates += [
+            F.sum(F.when(own, F.col("row_count"))).alias(f"r{i}"),
+            F.sum(F.when(own, F.col("null_count"))).alias(f"n{i}"),
+            F.min(F.when(own, F.col("minimum").try_cast(kind))).alias(f"lo{i}"),
+            F.max(F.when(own, F.col("maximum").try_cast(kind))).alias(f"hi{i}"),
+            F.bool_and(F.when(own, F.col("complete"))).alias(f"ok{i}"),
+        ]
+        parts.append(
+            F.struct(
+                F.lit(column).alias("column"),
+                F.col(f"r{i}").alias("row_count"),
+                F.col(f"n{i}").alias("null_count"),
+                F.when(F.col(f"ok{i}"), F.col(f"lo{i}").cast("string")).alias("minimum"),
+                F.when(F.col(f"ok{i}"), F.col(f"hi{i}").cast("string")).alias("maximum"),
+                F.col(f"ok{i}").alias("complete"),
+            )
+        )
+    return profiles.agg(*aggregates).select(F.explode(F.array(*parts)).alias("p")).select("p.*").where("row_count is not null")
 
 
 _NEGATED = {"=": "!=", "!=": "=", "<": ">=", "<=": ">", ">": "<=", ">=": "<"}

@@ -163,6 +163,10 @@ def test_statistics_completeness_and_pruning(spark):
     assert (rows[0, "i"]["minimum"], rows[0, "i"]["null_count"], rows[0, "d"]["complete"], rows[0, "d"]["maximum"]) == ("1", 1, False, None)
     assert rows[None, "d"]["complete"] is False and rows[None, "d"]["row_count"] == 4 and (rows[None, "i"]["minimum"], rows[None, "i"]["maximum"]) == ("1", "5")
     kinds = {"i": "int", "d": "double"}
+    merged = {r["column"]: r for r in statistics.merge_profiles(statistics.profile(df, ["s"]), kinds).collect()}
+    assert merged["d"]["complete"] is False and merged["d"]["minimum"] is None and (merged["i"]["minimum"], merged["i"]["maximum"], merged["i"]["row_count"]) == ("1", "5", 4)
+    plan = statistics.profile(df.withColumn("t", F.lit("x")), ["s"])._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" in plan and "Sort " not in plan
     prof = statistics.profile(df, ["s"])
 
     def outcome(predicate):

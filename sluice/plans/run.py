@@ -155,7 +155,9 @@ def run(
     """Run a resource to its checkpoint; running a package id again changes nothing."""
     if isinstance(resource, str):
         resource = parse_resource(resource)
-    head = ledger.head(resource.resource_id)
+    # each window of a backfill has a state of its own
+    scope = "resource" if options.window is None else f"window[{options.window[0]},{options.window[1]})"
+    head = ledger.head(resource.resource_id, scope)
     if resource.disposition == "append" and resource.cursor and head is not None and head.output_position_json and options.after is None and options.window is None:
         position = from_json(head.output_position_json)
         if isinstance(position, Cursor):
@@ -175,7 +177,7 @@ def run(
         receipts = [lake.deliver(target, rows, package.package_hash, resource.disposition, resource.keys, resource.delete)]
     if not receipts and TRUST[resource.trust].require_receipts:
         raise DeliveryError("trust needs a receipt, and nothing was delivered")
-    checkpoint = ledger.commit(resource.resource_id, receipts[0] if receipts else None, _position(rows, resource), quarantined_rows=quarantined)
+    checkpoint = ledger.commit(resource.resource_id, receipts[0] if receipts else None, _position(rows, resource), scope, quarantined_rows=quarantined)
     packages.set_status(package_id, "checkpointed")
     return RunResult(package, tuple(receipts), checkpoint, quarantined)
 

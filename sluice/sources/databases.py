@@ -20,7 +20,7 @@ from sluice.errors import ContractError
 from sluice.functions.expressions import COMPARISONS, parse_comparison
 from sluice.plans.resource import SOURCES, pushdown, pushes_limit
 
-_QUOTES = {"postgres": '"', "mysql": "`", "sqlite": '"', "clickhouse": "`"}
+_QUOTES = {"postgres": '"', "mysql": "`", "sqlite": '"', "clickhouse": "`", "duckdb": '"'}
 
 
 @dataclass(frozen=True)

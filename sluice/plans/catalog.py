@@ -467,20 +467,21 @@ def late_quarantine(spark, sf_dir):
 
 @query("SELECT event_type, count(*)::BIGINT AS rows FROM events GROUP BY event_type")
 def drain_epochs(spark, sf_dir):
-    """events as a stream, drained in epochs into a target; late rows are carried on, so none is lost."""
+    """events as a stream, drained in epochs into a target; late rows are marked, so none is lost."""
     from sluice.plans.resource import Execution
-    from sluice.streaming.epochs import Drain
+    from sluice.streaming.epochs import Drain, EpochState
 
     root = scratch(spark)
     lake = Lake(spark, root)
     execution = Execution("drain", ("batches", 1), ("batches", 1), ("quiescent", 0), "admit_with_annotation", "ts")
+    state = EpochState(spark, f"{root}/state")
 
-    def settle(rows: DataFrame, late_rows: DataFrame, epoch: int, watermark) -> None:
-        lake.deliver("events", rows.select("event_id", "event_type"), f"epoch-{epoch}", "append")
+    def settle(rows: DataFrame, late_rows: DataFrame, epoch: int, watermark) -> int:
+        return lake.deliver("events", rows.select("event_id", "event_type"), f"epoch-{epoch}", "append").counts["rows_written"]
 
     table = f"{sf_dir}/events.parquet"
     stream = spark.readStream.schema(spark.read.parquet(table).schema).option("maxFilesPerTrigger", 64).option("pathGlobFilter", "*.parquet").parquet(table if _is_folder(spark, table) else f"{sf_dir}/[e]vents.parquet")
-    Drain(execution, settle, "event_type", "ts").run(stream, f"{root}/stream")
+    Drain(execution, settle, state, "event_type", "ts").run(stream, f"{root}/stream")
     return lake.read("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 

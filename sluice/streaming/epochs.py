@@ -6,16 +6,20 @@ alone when frontiers close a package and when the drain ends; rows stay in the e
 
 from __future__ import annotations
 
+import datetime as dt
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.errors import ContractError, PositionError
-from sluice.operators.late import global_watermark, partition_watermarks, split_late
+from sluice.operators.late import LATE, LateSplit, partition_watermarks, split_late
 from sluice.plans.resource import Execution
+from sluice.storage import Folder
 
 
 @dataclass(frozen=True)
@@ -64,22 +68,62 @@ class Controller:
         return "continue"
 
 
+_KINDS = {"int": int, "datetime": dt.datetime.fromisoformat, "date": dt.date.fromisoformat, "Decimal": Decimal, "str": str}
+
+
+def _typed(value) -> list | None:
+    return None if value is None else [type(value).__name__, value.isoformat() if isinstance(value, dt.date) else str(value)]
+
+
+def _untyped(pair: list | None):
+    return None if pair is None else _KINDS[pair[0]](pair[1])
+
+
+class EpochState:
+    """What epochs leave to the next one, in a folder of shared storage: watermark, claims and withheld rows.
+
+    An epoch reads what the one before it left, so an epoch that runs again after a crash decides alike.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root, self.folder = spark, root.rstrip("/"), Folder(spark, root)
+
+    def load(self, epoch: int) -> tuple[object, dict]:
+        """(watermark, claims) after an epoch; nothing before the first."""
+        name = f"epochs/{epoch:012d}.json"
+        if not self.folder.exists(name):
+            return None, {}
+        found = json.loads(self.folder.read(name))
+        return _untyped(found["watermark"]), {_untyped(k): _untyped(v) for k, v in found["claims"]}
+
+    def save(self, epoch: int, watermark, claims: dict) -> None:
+        body = {"watermark": _typed(watermark), "claims": [[_typed(k), _typed(v)] for k, v in sorted(claims.items(), key=str)]}
+        self.folder.write(f"epochs/{epoch:012d}.json", json.dumps(body, sort_keys=True), overwrite=True)
+
+    def withhold(self, epoch: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/late/{epoch:012d}")
+
+    def withheld(self, epoch: int) -> DataFrame | None:
+        name = f"late/{epoch:012d}"
+        return self.spark.read.parquet(f"{self.root}/{name}") if self.folder.exists(f"{name}/_SUCCESS") else None
+
+
 @dataclass
 class Drain:
     """Runs the micro-batches of a stream as epochs with committed watermarks and late rows.
 
-    ``settle(rows, late, epoch, watermark)`` delivers one epoch and must be idempotent by epoch number.  Late rows are
-    told against the watermark that earlier epochs committed, so a rerun of an epoch decides alike.
+    ``settle(rows, quarantined, epoch, watermark)`` delivers one epoch, must be idempotent by epoch number, and gives
+    the rows it delivered (None if they are not measured).  Rows are late against the watermark that earlier epochs committed.  Recaptured rows are held back once and admitted with the
+    next epoch, whatever the watermark is then.
     """
 
     execution: Execution
-    settle: Callable[[DataFrame, DataFrame, int, object], None]
+    settle: Callable[[DataFrame, DataFrame, int, object], int | None]
+    state: EpochState
     partition: str | None = None
     event_time: str | None = None
     watermark: object = None
     claims: dict = field(default_factory=dict)
-    carried: Callable[[], DataFrame | None] = lambda: None
-    keep_carried: Callable[[DataFrame, int], None] = lambda rows, epoch: None
     log: list = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -88,37 +132,38 @@ class Drain:
         self.controller = Controller(self.execution)
 
     def on_batch(self, batch: DataFrame, epoch: int) -> None:
-        began, kept = time.monotonic(), batch
-        carried = self.carried()
-        if carried is not None:
-            kept = kept.unionByName(carried)
-        seen = Observation()
-        kept = kept.observe(seen, F.count(F.lit(1)).alias("rows"))
-        if self.event_time and self.watermark is not None:
-            split = split_late(kept, self.event_time, self.watermark, self.execution.late)
-            self.settle(split.admitted, split.quarantined, epoch, self.watermark)
-            if self.execution.late == "recapture_next_epoch":
-                self.keep_carried(split.carried, epoch)
+        began = time.monotonic()
+        if epoch:
+            self.watermark, self.claims = self.state.load(epoch - 1)
+        before = self.watermark
+        if self.event_time and before is not None:
+            split = split_late(batch, self.event_time, before, self.execution.late)
         else:
-            self.settle(kept, kept.where(F.lit(False)), epoch, self.watermark)
-        advance = self._advance(batch)
-        done = Magnitudes(1, seen.get["rows"], None, int((time.monotonic() - began) * 1000), advance)
+            none = batch.where(F.lit(False))
+            split = LateSplit(batch.withColumn(LATE, F.lit(False)) if self.execution.late == "admit_with_annotation" and self.event_time else batch, none, none)
+        admitted = split.admitted
+        if (held := self.state.withheld(epoch - 1)) is not None:
+            admitted = admitted.unionByName(held)
+        rows = self.settle(admitted, split.quarantined, epoch, before)
+        if self.execution.late == "recapture_next_epoch":
+            self.state.withhold(epoch, split.carried)
+        self._advance(batch)
+        self.state.save(epoch, self.watermark, self.claims)
+        advance = self.watermark - before if isinstance(self.watermark, int) and isinstance(before, int) else None
+        done = Magnitudes(1, rows, None, int((time.monotonic() - began) * 1000), advance)
         self.log.append((epoch, self.controller.offer(done)))
 
-    def _advance(self, batch: DataFrame) -> int | None:
+    def _advance(self, batch: DataFrame) -> None:
         """Take the batch's claims per source partition; the number of partitions is the source's, not the data's."""
         if not (self.event_time and self.partition):
-            return None
+            return
         for r in partition_watermarks(batch, self.partition, self.event_time).collect():
             old = self.claims.get(r[self.partition])
             if r["watermark"] is not None:
                 self.claims[r[self.partition]] = r["watermark"] if old is None else max(old, r["watermark"])
-        if not self.claims or any(v is None for v in self.claims.values()):
-            return None
-        low, before = min(self.claims.values()), self.watermark
-        if before is None or low > before:
-            self.watermark = low
-        return None if before is None or not isinstance(low, int) else self.watermark - before
+        if self.claims:
+            low = min(self.claims.values())
+            self.watermark = low if self.watermark is None else max(self.watermark, low)
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         """Drain what the stream has now.  ``checkpoint`` is the query's own folder, in shared storage."""
@@ -126,7 +171,3 @@ class Drain:
             raise PositionError("a drain reads a stream")
         query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(self.on_batch).start()
         query.awaitTermination()
-
-
-def merged_watermark(claims: DataFrame, previous=None) -> object:
-    return global_watermark(claims, previous).first()["watermark"]

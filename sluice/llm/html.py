@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import cut
+
 #: Least length of a repeated passage that counts as boilerplate.
 MIN_TOKENS = 12
 #: Tokens of a host's unmarked pages that one task sorts.
@@ -247,6 +249,8 @@ def extract(pages: DataFrame) -> DataFrame:
     rest = rows.mapInArrow(unmarked, "page_id long, url string, tokens array<string>").select(
         "page_id", "url", "tokens", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), _HOST, 1)).alias("host"), F.xxhash64("tokens").alias("stream")
     )
+    # read again below: of the parsed pages only these are written
+    rest = cut(rest)
     sizes = rest.groupBy("host").agg((F.sum(F.size("tokens")) > HOST_TOKENS).alias("large"))
     rest = rest.join(sizes, "host")
     small = rest.where("not large").select("host", "page_id", "url", "tokens").groupBy("host").applyInPandas(_host_pages, "page_id long, url string, text string")

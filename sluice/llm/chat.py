@@ -16,10 +16,13 @@ from dataclasses import dataclass
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
+from sluice.llm.encoding import UNSURE, ranks_beside
+
 START, MIDDLE, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
 
@@ -38,6 +41,7 @@ def restore(text: str) -> str:
 
 
 _known: dict[str, Tokenizer] = {}
+_fast: dict[str, "OffsetEncoder"] = {}
 
 
 def chat_tokenizer(path: str | None = None) -> Tokenizer:
@@ -50,6 +54,46 @@ def chat_tokenizer(path: str | None = None) -> Tokenizer:
     return _known[path]
 
 
+class OffsetEncoder:
+    """Ids and code-point offsets of a whole text with its control strings.
+
+    Where the vocabulary is also at hand as ranks, offsets are sums of the tokens' byte lengths; texts with letters
+    whose class may differ between Unicode versions go through the tokenizer itself.
+    """
+
+    def __init__(self, path: str | None = None) -> None:
+        path = path or public_tokenizers.path("byte_bpe_50k.json")
+        self.tokenizer = chat_tokenizer(path)
+        control = {t: self.tokenizer.token_to_id(t) for t in (START, MIDDLE, END)}
+        self.fast, self.control = None, set(control)
+        if table := ranks_beside(path):
+            self.fast = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=control)._core_bpe
+            self.sizes = np.zeros(max(*table.values(), *control.values()) + 1, np.int64)
+            for token, at in (*table.items(), *((k.encode(), v) for k, v in control.items())):
+                self.sizes[at] = len(token)
+
+    @classmethod
+    def of(cls, path: str | None = None) -> "OffsetEncoder":
+        key = path or ""
+        if key not in _fast:
+            _fast[key] = cls(path)
+        return _fast[key]
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.fast is None or UNSURE.search(text):
+            encoding = self.tokenizer.encode(text, add_special_tokens=False)
+            offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
+            return np.array(encoding.ids, np.int32), offsets[:, 0], offsets[:, 1]
+        ids = np.frombuffer(memoryview(self.fast.encode_to_tiktoken_buffer(text, self.control)), np.uint32).astype(np.int32)
+        ends = np.cumsum(self.sizes[ids])
+        starts = ends - self.sizes[ids]
+        if not text.isascii():
+            # code points that begin before each byte; a token may end within one
+            begun = np.append(0, np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80))
+            starts, ends = begun[starts + 1] - 1 if len(starts) else starts, begun[ends]
+        return ids, starts, ends
+
+
 @dataclass
 class Formatted:
     """A rendered conversation, its token ids and which tokens count for the loss."""
@@ -78,7 +122,7 @@ class Formatted:
         return "".join(out)
 
 
-def format_turns(turns: list[tuple[str | None, str | None]], tokenizer: Tokenizer, trained: str = TRAINED_ROLE) -> Formatted:
+def format_turns(turns: list[tuple[str | None, str | None]], encoder: OffsetEncoder, trained: str = TRAINED_ROLE) -> Formatted:
     """Render (role, text) turns; null roles and texts are empty ones."""
     parts, spans, at = [], [], 0
     for role, text in turns:
@@ -88,9 +132,7 @@ def format_turns(turns: list[tuple[str | None, str | None]], tokenizer: Tokenize
         parts += [head, body, END, "\n"]
         at += len(head) + len(body) + len(END) + 1
     whole = "".join(parts)
-    encoding = tokenizer.encode(whole, add_special_tokens=False)
-    offsets = np.array(encoding.offsets, np.int64).reshape(-1, 2)
-    starts, ends = offsets[:, 0], offsets[:, 1]
+    ids, starts, ends = encoder.encode(whole)
     loss = np.zeros(len(starts), bool)
     if spans:
         bounds = np.array(spans)
@@ -99,7 +141,7 @@ def format_turns(turns: list[tuple[str | None, str | None]], tokenizer: Tokenize
         last = np.searchsorted(starts, bounds[:, 1], side="left")
         for a, b in zip(first.tolist(), last.tolist()):
             loss[a:b] = True
-    return Formatted(whole, np.array(encoding.ids, np.int32), starts, ends, loss)
+    return Formatted(whole, ids, starts, ends, loss)
 
 
 def _sha256(text: str) -> str:
@@ -125,15 +167,15 @@ def format_conversations(rows: DataFrame, tokenizer: str | None = None, digest:
     read = [("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())]
     schema = pa.schema([("conv_id", pa.int64()), *(read if digest else kept)])
 
-    def finish(conv_id: int | None, turns: list, tok: Tokenizer) -> tuple:
-        f = format_turns(turns, tok)
+    def finish(conv_id: int | None, turns: list, encoder: OffsetEncoder) -> tuple:
+        f = format_turns(turns, encoder)
         if not digest:
             return conv_id, f.text, f.ids.tolist(), f.loss.tolist()
         back, loss = f.turns(), f.loss_text()
         return conv_id, len(back), _sha256("".join(f"{r}\n{t}\n" for r, t in back)), len(loss), _sha256(loss), len(f.text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = chat_tokenizer(tokenizer)
+        encoder = OffsetEncoder.of(tokenizer)
         done: list[tuple] = []
         size, open_id, turns = 0, None, None
 
@@ -144,7 +186,7 @@ def format_conversations(rows: DataFrame, tokenizer: str | None = None, digest:
             for conv_id, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
                 if turns is None or conv_id != open_id:
                     if turns is not None:
-                        done.append(finish(open_id, turns, tok))
+                        done.append(finish(open_id, turns, encoder))
                         if len(done) >= 256 or size > 1 << 22:
                             yield flush()
                             done, size = [], 0
@@ -152,7 +194,7 @@ def format_conversations(rows: DataFrame, tokenizer: str | None = None, digest:
                 turns.append((role, text))
                 size += len(text or "")
         if turns is not None:
-            done.append(finish(open_id, turns, tok))
+            done.append(finish(open_id, turns, encoder))
             yield flush()
 
     ddl = "conv_id long, " + (

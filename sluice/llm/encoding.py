@@ -20,7 +20,17 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-_UNSURE = re.compile("[^\x00-\x1b\x20-ԯḀ-῿ -₿]")
+#: Letters whose class may differ between Unicode versions.
+UNSURE = re.compile("[^\x00-\x1b\x20-ԯḀ-῿ -₿]")
+
+
+def ranks_beside(path: str) -> dict[bytes, int] | None:
+    """The vocabulary of a tokenizer's JSON file as ranks, if a file of them lies beside it."""
+    ranks = Path(path).with_suffix(".tiktoken")
+    if not ranks.exists():
+        return None
+    pairs = (line.split() for line in ranks.read_bytes().splitlines())
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
 class Encoder:
@@ -30,12 +40,9 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        ranks = Path(path).with_suffix(".tiktoken")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.fast = None
-        if ranks.exists():
-            pairs = (line.split() for line in ranks.read_bytes().splitlines())
-            table = {base64.b64decode(token): int(rank) for token, rank in pairs}
+        if table := ranks_beside(path):
             plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.fast = plain._core_bpe
 
@@ -46,6 +53,6 @@ class Encoder:
         return cls._known[path]
 
     def ids(self, text: str) -> bytes:
-        if self.fast is None or _UNSURE.search(text) or any(s in text for s in self.special):
+        if self.fast is None or UNSURE.search(text) or any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return memoryview(self.fast.encode_to_tiktoken_buffer(text, set())).tobytes()

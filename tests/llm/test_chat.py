@@ -46,3 +46,16 @@ def test_outputs_decode_to_the_rendering(spark):
     assert tok.decode(r.ids, skip_special_tokens=False) == r.formatted
     assert C.restore(tok.decode([i for i, m in zip(r.ids, r.loss) if m])) == rows[1][3]
     assert C.format_conversations(df.limit(0)).count() == 0
+
+
+def test_fast_offsets_are_the_tokenizer_s():
+    rng, fast, slow = random.Random(5), C.OffsetEncoder.of(), C.OffsetEncoder()
+    slow.fast = None
+    bits = ["Hello", " ", "\n\n", "!", "ñ", "日", "  ", "<", "\\|", "12", "ß", "'s", "é́", "₿", " the", C.START, C.MIDDLE, C.END, "\t", "½", "€"]
+    used = 0
+    for _ in range(400):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 60)))
+        used += not C.UNSURE.search(text)
+        for a, b in zip(fast.encode(text), slow.encode(text)):
+            assert a.tolist() == b.tolist(), text
+    assert used > 20

@@ -185,8 +185,10 @@ def learn_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     chance = F.lit(0.0)
     for r in by_lang:
         chance = F.when(F.col("lang") == r["lang"], min(1.0, share / r["count"])).otherwise(chance)
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    sample = rows.where(draw < chance).select("doc_id", "text", "lang").limit(2 * sample_rows).collect()
+    # drawn by the whole row, so that rows without an id are not drawn together, and alike when a task is run again
+    draw = (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)).alias("draw")
+    drawn = rows.select("doc_id", "text", "lang", draw).where(F.col("draw") < chance)
+    sample = drawn.orderBy("draw", "lang").limit(2 * sample_rows).collect()
     sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
     return fit([(r["text"], r["lang"]) for r in sample], sorted(r["lang"] for r in by_lang), idf)
 

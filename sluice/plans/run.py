@@ -132,6 +132,8 @@ def plan(spark: SparkSession, resource: Resource, registry: Registry, options: O
     none = out.where(F.lit(False))
     late = split_late(out, options.event_time, options.watermark, resource.execution.late) if options.event_time and options.watermark is not None else LateSplit(out, none, none)
     dedup = contract.dedup
+    if options.event_time and resource.execution.late == "admit_with_annotation" and (dedup or resource.exact_row_dedup):
+        raise ContractError("annotated late rows need their own ordinals and do not go with package dedup")
     if resource.exact_row_dedup or (dedup and dedup.exact_row):
         late.admitted = distinct_rows(late.admitted)
     elif dedup and dedup.keep == "fail":

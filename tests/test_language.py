@@ -100,3 +100,12 @@ def test_resource_file():
 def test_relational_sql_is_refused(sql):
     with pytest.raises(SluiceError):
         parse_resource(sql)
+
+
+def test_filter_lints():
+    from sluice.plans.lints import filter_lints
+
+    assert filter_lints(["a > 5 AND a < 5"]) == ["no value of a passes"] and filter_lints(["a >= 5", "5 >= a"]) == []
+    assert filter_lints(["a = 5 AND a < 5"]) == ["no value of a passes"] and filter_lints(["a > 1 OR a < 0"]) == []
+    assert filter_lints(["id > 5", "id < 100"], "id", 10) == ["id > 5 is subsumed by the committed cursor"]
+    assert filter_lints(["a = null"]) == ["a = null is never true"]

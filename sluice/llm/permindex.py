@@ -29,7 +29,7 @@ NEIGHBOURS = 20
 RERANK_SHARE = 0.1
 RERANK_LEAST = 400
 INDEX_BLOCK = 16_384
-QUERY_BLOCK = 4_096
+QUERY_BLOCK = 16_384
 
 
 def valid_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:

@@ -235,9 +235,10 @@ def _snake(name: str) -> str:
 
 def _short_hash(name: str) -> str:
     """The low 32 bits of the name's 64-bit FNV-1a hash."""
-    h = 0xCBF29CE484222325
+    # fixed values: the offset and the prime of that hash
+    h, prime = 0xCBF29CE484222325, 0x100000001B3
     for byte in name.encode():
-        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        h = (h ^ byte) * prime & 0xFFFFFFFFFFFFFFFF
     return f"{h & 0xFFFFFFFF:08x}"
 
 

@@ -14,16 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.errors import ContractError, DeliveryError, PositionError
+from sluice.errors import ContractError, DeliveryError, PositionError, SchemaError
 from sluice.functions.expressions import Lowering, project
 from sluice.functions.sqltext import columns_of, parse_scalar
 from sluice.ledger import Checkpoint, Ledger
-from sluice.operators.contract import TRUST, Contract, Validated, validate
+from sluice.operators.contract import TRUST, Contract, Validated, implied_rules, validate
 from sluice.operators.dedup import distinct_rows, keep_one, refuse_repeats
 from sluice.operators.late import LateSplit, split_late
-from sluice.operators.residual import capture
+from sluice.operators.residual import VARIANT_COLUMN, capture
 from sluice.operators.routing import with_route
-from sluice.operators.schema import NamePolicy, check_destination, conform, normalize_columns
+from sluice.operators.schema import NamePolicy, check_destination, conform, normalize_columns, reconcile
 from sluice.operators.segments import limit_in_order
 from sluice.operators.transforms import apply_transforms
 from sluice.plans.frontend import parse_resource
@@ -100,6 +100,21 @@ def select_upstream(df: DataFrame, resource: Resource) -> DataFrame:
     return project(df, resource.outputs, resource.where)
 
 
+def _fitted(df: DataFrame, schema: T.StructType, field: str) -> DataFrame:
+    """``df`` in the declared types; what has no place there is captured, or fails the run."""
+    extra = [c for c in df.columns if c not in schema.names]
+    coerced = {d.name: schema[d.name].dataType for d in reconcile(df.schema, schema) if d.decision == "coerced"}
+    if field == "fail_run":
+        if extra:
+            raise SchemaError(f"fields without a place: {extra}")
+        strict = df.select(*[F.col(f"`{c}`").cast(coerced[c]).alias(c) if c in coerced else F.col(f"`{c}`") for c in df.columns])
+        return conform(strict, schema)[0]
+    if not extra and not coerced:
+        return conform(df, schema)[0]
+    kept = capture(df, [c for c in df.columns if c not in extra], unfit=coerced)
+    return conform(kept, T.StructType([*schema.fields, kept.schema[VARIANT_COLUMN]]))[0]
+
+
 def plan(spark: SparkSession, resource: Resource, registry: Registry, options: Options = Options()) -> Plan:
     df = registry.open(spark, resource)
     if resource.cursor and options.after is not None:
@@ -109,20 +124,15 @@ def plan(spark: SparkSession, resource: Resource, registry: Registry, options: O
             raise ContractError("a backfill needs a cursor")
         df = df.where((F.col(resource.cursor) >= F.lit(options.window[0])) & (F.col(resource.cursor) < F.lit(options.window[1])))
     if options.schema is not None:
-        extra = [c for c in df.columns if c not in options.schema.names]
-        typed = TRUST[resource.trust].field == "capture_variant" and extra
-        kept = capture(df, [c for c in df.columns if c not in extra]) if typed else df.drop(*extra)
-        want = T.StructType([*options.schema.fields, kept.schema[kept.columns[-1]]]) if typed else options.schema
-        df, _ = conform(kept, want)
+        df = _fitted(df, options.schema, TRUST[resource.trust].field)
     df = select_upstream(df, resource)
     for f in options.filters:
         df = df.where(Lowering(df).lower(parse_scalar(f)))
     df = apply_transforms(df, options.transforms)
     if options.limit is not None:
         df = limit_in_order(df, options.order_by or df.columns, options.limit)
-    if options.carried is not None:
-        df = df.unionByName(options.carried)
-    contract = Contract(options.contract.rules, options.contract.dedup, TRUST[resource.trust], options.contract.redact)
+    rules = implied_rules(T.StructType([f for f in options.schema or () if f.name in df.columns]), options.contract.rules)
+    contract = Contract(rules, options.contract.dedup, TRUST[resource.trust], options.contract.redact)
     checked = validate(df, contract, options.order_by)
     out = checked.accepted
     if options.select:
@@ -131,6 +141,9 @@ def plan(spark: SparkSession, resource: Resource, registry: Registry, options: O
         out = normalize_columns(out, options.normalize)
     none = out.where(F.lit(False))
     late = split_late(out, options.event_time, options.watermark, resource.execution.late) if options.event_time and options.watermark is not None else LateSplit(out, none, none)
+    if options.carried is not None:
+        # rows that an earlier epoch held back have passed their contract and are not late again
+        late.admitted = late.admitted.unionByName(options.carried)
     dedup = contract.dedup
     if options.event_time and resource.execution.late == "admit_with_annotation" and (dedup or resource.exact_row_dedup):
         raise ContractError("annotated late rows need their own ordinals and do not go with package dedup")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice import positions as P
 from sluice import system
-from sluice.errors import AdmissionError, ContractError, DeliveryError, PositionError
+from sluice.errors import AdmissionError, ContractError, DeliveryError, PositionError, SchemaError
 from sluice.ledger import Ledger
 from sluice.operators import contract as C
 from sluice.plans.frontend import parse_resource
@@ -199,6 +199,19 @@ def test_order_of_steps(spark, tmp_path):
     assert [r["id"] for r in preview(spark, resource, registry, 9, keyed).collect()] == [2]
 
 
+def test_declared_schema_captures_or_fails(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    registry, *_ = _world(spark, tmp_path, [])
+    registry.register("mem", lambda s: s.createDataFrame([(1, "5", "x"), (2, "bad", None), (None, "7", None)], "id int, n string, more string"))
+    schema = T.StructType([T.StructField("id", T.LongType(), False), T.StructField("n", T.IntegerType()), T.StructField("new", T.StringType())])
+    got = {r["id"]: r for r in preview(spark, "RESOURCE TRUST GOVERNED AS SELECT * FROM upstream(source => 'mem')", registry, 9, Options(schema=schema)).collect()}
+    assert set(got) == {1, 2} and got[1]["n"] == 5 and got[2]["n"] is None and got[1]["new"] is None
+    assert json.loads(got[1]["_variant"])["fields"]["/more"]["value"] == "x" and json.loads(got[2]["_variant"])["fields"]["/n"]["value"] == "bad"
+    with pytest.raises(SchemaError):
+        preview(spark, "RESOURCE TRUST FINANCIAL AS SELECT * FROM upstream(source => 'mem')", registry, 9, Options(schema=schema))
+
+
 def test_routes_are_separate_targets(spark, tmp_path):
     registry, lake, packages, ledger = _world(spark, tmp_path, [(1, "a"), (2, "b"), (3, "a")])
     sql = "RESOURCE TARGET out ROUTE BY v MAX TARGETS 2 DISPOSITION APPEND TRUST GOVERNED AS SELECT id, v FROM upstream(source => 'mem')"

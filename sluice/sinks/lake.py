@@ -138,10 +138,16 @@ class Lake:
         return Receipt(**json.loads(self.folder.read(name))) if self.folder.exists(name) else None
 
     def receipts(self) -> list[Receipt]:
-        found = []
-        for target, _, _, is_dir in self.folder.list("targets"):
-            if is_dir:
-                found += [Receipt(**json.loads(self.folder.read(f"targets/{target}/receipts/{n}"))) for n, *_ in self.folder.list(f"targets/{target}/receipts") if n.endswith(".json")]
+        """All receipts, those of routes included, in the order of their times."""
+        found: list[Receipt] = []
+        waiting = ["targets"]
+        while waiting:
+            at = waiting.pop()
+            for name, _, _, is_dir in self.folder.list(at):
+                if is_dir and name not in ("data", "receipts"):
+                    waiting.append(f"{at}/{name}")
+                elif is_dir and name == "receipts":
+                    found += [Receipt(**json.loads(self.folder.read(f"{at}/receipts/{n}"))) for n, *_ in self.folder.list(f"{at}/receipts") if n.endswith(".json")]
         return sorted(found, key=lambda r: (r.committed_at_ms, r.receipt_id))
 
     # -- loads

@@ -216,6 +216,7 @@ def test_routes_are_separate_targets(spark, tmp_path):
     registry, lake, packages, ledger = _world(spark, tmp_path, [(1, "a"), (2, "b"), (3, "a")])
     sql = "RESOURCE TARGET out ROUTE BY v MAX TARGETS 2 DISPOSITION APPEND TRUST GOVERNED AS SELECT id, v FROM upstream(source => 'mem')"
     assert len(run(spark, sql, registry, lake, packages, ledger).receipts) == 2 and lake.read("out/string=a").count() == 2
+    assert [r.target for r in lake.receipts()] == ["out/string=a", "out/string=b"]
     with pytest.raises(DeliveryError):
         run(spark, sql.replace("2 DIS", "1 DIS"), registry, lake, packages, ledger, package_id="other")
 

@@ -18,7 +18,8 @@ from sluice.llm.common import cut
 
 WINDOW = 8
 GRAM = 5
-#: Rows of the benchmark side up to which it is broadcast (some 64 bytes each); beyond, both sides are shuffled.
+#: Rows of the benchmark side, or of contaminated documents' keys, up to which they are broadcast (some 64 bytes each);
+#: beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 #: Items in which a document's windows must occur for it to count as contaminated.
 MIN_ITEMS = 2
@@ -183,4 +184,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MI
     found = contamination(docs, benchmark, min_items).where("contaminated")
     bad = cut(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
+    if bad.count() <= BROADCAST_ROWS:
+        bad = F.broadcast(bad)  # the texts stay where they are
     return docs.join(bad, same, "left_anti")

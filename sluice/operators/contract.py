@@ -280,19 +280,24 @@ def _predicates(df: DataFrame, contract: Contract) -> list[Column]:
     return [rule.violated(kinds[rule.column]) for rule in contract.rules]
 
 
-def with_violations(df: DataFrame, contract: Contract, column: str = "violations") -> DataFrame:
-    """``df`` and, per row, the rules it breaks, in rule order."""
-    found = []
-    for rule, violated in zip(contract.rules, _predicates(df, contract)):
-        entry = F.struct(
+def _entries(contract: Contract) -> list[Column]:
+    """For each rule the evidence of a row that breaks it."""
+    return [
+        F.struct(
             F.lit(rule.rule_id).alias("rule_id"),
             F.lit(rule.code).alias("error_code"),
             F.lit(rule.column).alias("column"),
             redacted(rule.value(), contract.redact.get(rule.column)).alias("value"),
         )
-        found.append(F.when(violated, entry))
-    every = F.array_compact(F.array(*found)) if found else F.array()
-    return df.withColumn(column, every.cast(_VIOLATION))
+        for rule in contract.rules
+    ]
+
+
+def with_violations(df: DataFrame, contract: Contract, column: str = "violations") -> DataFrame:
+    """``df`` and, per row, the rules it breaks, in rule order."""
+    none = F.array().cast(_VIOLATION)
+    parts = [F.when(p, F.array(e)).otherwise(none) for p, e in zip(_predicates(df, contract), _entries(contract))]
+    return df.withColumn(column, F.concat(*parts).cast(_VIOLATION) if parts else none)
 
 
 @dataclass
@@ -342,6 +347,6 @@ def validate(df: DataFrame, contract: Contract, ordinal: Sequence[str] = ()) ->
     for p in predicates:
         accepted = accepted.where(~p)
     broken = reduce(lambda a, b: a | b, predicates, F.lit(False))
-    marked = with_violations(df.where(broken), contract)
-    evidence = marked.select(*ordinal, F.explode("violations").alias("v")).select(*ordinal, "v.*")
+    each = [F.when(p, e) for p, e in zip(predicates, _entries(contract))] or [F.lit(None).cast(_VIOLATION[6:-1])]
+    evidence = df.where(broken).select(*ordinal, F.explode(F.array(*each)).alias("v")).where("v is not null").select(*ordinal, "v.*")
     return Validated(df, accepted, evidence, contract, predicates)

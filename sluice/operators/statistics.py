@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,20 +23,22 @@ _BOUNDED = (T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T
 PROFILE = "column string, row_count bigint, null_count bigint, minimum string, maximum string, complete boolean"
 
 
-def _aggregates(fields: Sequence[T.StructField]) -> list[Column]:
-    """Counts, typed bounds and, as sets, what spoils bounds: NaN, infinity, or a type without an order.
+def _aggregates(fields: Sequence[T.StructField], grouped: bool) -> list[Column]:
+    """Counts, typed bounds, and whether nothing spoils them: NaN, infinity, or a type without an order.
 
-    With a set among the aggregates groups are hashed; text bounds alone would have Spark sort the rows.
+    Text bounds by group would have Spark sort the rows; with an empty set beside them it hashes the groups.
     """
-    out = [F.count(F.lit(1)).alias("rows")]
+    rows = F.count(F.lit(1))
+    if grouped and any(isinstance(f.dataType, T.StringType) for f in fields):
+        rows = rows + F.size(F.collect_set(F.lit(None).cast("int")))
+    out = [rows.alias("rows")]
     for i, f in enumerate(fields):
         value = F.col(f"`{f.name}`")
         bounded = isinstance(f.dataType, _BOUNDED)
-        odd = F.lit(not bounded)
+        sound = F.lit(bounded)
         if isinstance(f.dataType, _FLOATS):
-            odd = F.isnan(value) | value.isin(math.inf, -math.inf)
-        out += [F.count(value).alias(f"n{i}"), F.min(value if bounded else F.lit(None)).alias(f"lo{i}"), F.max(value if bounded else F.lit(None)).alias(f"hi{i}")]
-        out.append((F.size(F.collect_set(F.when(odd, True))) == 0).alias(f"ok{i}"))
+            sound = ~F.coalesce(F.bool_or(F.isnan(value) | value.isin(math.inf, -math.inf)), F.lit(False))
+        out += [F.count(value).alias(f"n{i}"), F.min(value if bounded else F.lit(None)).alias(f"lo{i}"), F.max(value if bounded else F.lit(None)).alias(f"hi{i}"), sound.alias(f"ok{i}")]
     return out
 
 
@@ -54,24 +57,32 @@ def _tall(wide: DataFrame, fields: Sequence[T.StructField], by: Sequence[str]) -
     return wide.select(*by, F.explode(F.array(*parts)).alias("p")).select(*by, "p.*")
 
 
+def _halves(df: DataFrame, by: Sequence[str]) -> list[list[T.StructField]]:
+    """Texts apart from the rest, whose bounds stay in generated code; each half reads its own columns only."""
+    fields = [f for f in df.schema if f.name not in by]
+    texts = [f for f in fields if isinstance(f.dataType, T.StringType)]
+    return [half for half in ([f for f in fields if f not in texts], texts) if half] or [[]]
+
+
 def profile(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``by`` columns and one row per column: counts, bounds as texts, and whether the bounds are complete."""
-    fields = [f for f in df.schema if f.name not in by]
-    return _tall(df.groupBy(*by).agg(*_aggregates(fields)), fields, by)
+    return reduce(DataFrame.unionByName, [_tall(df.groupBy(*by).agg(*_aggregates(half, bool(by))), half, by) for half in _halves(df, by)])
 
 
 def segment_and_package(df: DataFrame, segment: str) -> DataFrame:
     """Profiles of every segment and, with a null segment, of the package.
 
-    The data are read once; the package's profile comes from the segments' rows, one a segment.  One incomplete
+    Each column is read once; the package's profile comes from the segments' rows, one a segment.  One incomplete
     segment leaves the package without bounds.
     """
-    fields = [f for f in df.schema if f.name != segment]
-    wide = df.groupBy(segment).agg(*_aggregates(fields))
-    merged = [F.sum("rows").alias("rows")]
-    for i in range(len(fields)):
-        merged += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"), F.bool_and(f"ok{i}").alias(f"ok{i}")]
-    return _tall(wide.rollup(segment).agg(*merged), fields, [segment])
+    parts = []
+    for half in _halves(df, [segment]):
+        wide = df.groupBy(segment).agg(*_aggregates(half, True))
+        merged = [F.sum("rows").alias("rows")]
+        for i in range(len(half)):
+            merged += [F.sum(f"n{i}").alias(f"n{i}"), F.min(f"lo{i}").alias(f"lo{i}"), F.max(f"hi{i}").alias(f"hi{i}"), F.bool_and(f"ok{i}").alias(f"ok{i}")]
+        parts.append(_tall(wide.rollup(segment).agg(*merged), half, [segment]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def merge_profiles(profiles: DataFrame, kinds: dict[str, str]) -> DataFrame:

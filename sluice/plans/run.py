@@ -49,6 +49,10 @@ class Registry:
             raise ContractError(f"no source {resource.source}")
         return self.sources[resource.source](spark, **resource.arguments)
 
+    def mount(self, spark: SparkSession, view: str, source: str, **arguments) -> None:
+        """A source as a view for any Spark SQL; filters, columns and limits are pushed as its reader can."""
+        self.sources[source](spark, **arguments).createOrReplaceTempView(view)
+
 
 def parquet_source(root: str) -> Source:
     """Tables of a folder of Parquet files or folders: ``upstream(source => ..., table => 'orders')``."""

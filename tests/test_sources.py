@@ -272,4 +272,6 @@ def test_pushdown_reaches_the_scan(spark, tmp_path):
     from sluice.plans.run import Registry, explain, parquet_source
 
     text = explain(spark, parse_resource("SELECT id FROM upstream(source => 'p', table => 't') WHERE id >= 90"), Registry({"p": parquet_source(str(tmp_path))}))
+    Registry({"p": parquet_source(str(tmp_path))}).mount(spark, "mounted", "p", table="t")
+    assert spark.sql("SELECT count(*) AS n FROM mounted WHERE id >= 90").first()["n"] == 10
     assert "GreaterThanOrEqual(id,90)" in text and "ReadSchema: struct<id:bigint>" in text

@@ -20,7 +20,18 @@ _MAYBE_IP = re.compile(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
+_GROUP = re.compile(r"[A-Z0-9]{1,34}+(?![A-Za-z0-9])")
+#: Length of each country's IBANs.
+_IBAN_SIZE = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 "
+        "GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 "
+        "MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 "
+        "UA29 VA22 VG24 XK20 YE30"
+    ).split()
+}
 
 _SCORE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
 _FOR = {
@@ -76,12 +87,25 @@ def _base(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _ibans(text: str, start: int) -> list[tuple[int, str]]:
+    """Where an IBAN from ``start`` may end, and it without spaces: its country's length first, then the longest."""
+    whole, at, ends = "", start, []
+    while (m := _GROUP.match(text, at)) and len(whole := whole + m[0]) <= 34:
+        if len(whole) >= 15:
+            ends.append((m.end(), whole))
+        if text[m.end() : m.end() + 1] != " ":
+            break
+        at = m.end() + 1
+    size = _IBAN_SIZE.get(text[start : start + 2])
+    return sorted(ends, key=lambda e: (len(e[1]) != size, -e[0]))
+
+
 def _confirmed(text: str) -> list[tuple[str, int, int]]:
-    spans = []
+    spans, free = [], 0
     for m in _IBAN.finditer(text):
-        whole = m[0].replace(" ", "")
-        if 15 <= len(whole) <= 34 and mod97(whole):
-            spans.append(("iban", *m.span()))
+        if m.start() >= free and (end := next((e for e, whole in _ibans(text, m.start()) if mod97(whole)), None)):
+            spans.append(("iban", m.start(), end))
+            free = end
     return spans
 
 

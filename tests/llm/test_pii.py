@@ -44,6 +44,16 @@ def test_checksums_and_context():
     assert score("version 1.2.3.4") < score("see 1.2.3.4") < score("host 1.2.3.4")
 
 
+def test_ibans_end_where_the_checksum_holds():
+    one, two = "DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19"
+    for iban in (one, two, "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S", "FR14 2004 1010 0505 0001 3M02 606"):
+        for before, after in (("", ""), ("IBAN ", " BIC COBADEFFXXX"), ("", " OR"), ("", " 2024"), ("", " Today"), ("AB12 ", ", X"), ("A1B2 C3 ", " 12 31 2024 A B C D E F G H")):
+            text = before + iban + after
+            assert [s[1:3] for s in pii.find_pii(text) if s[0] == "iban"] == [(len(before), len(before) + len(iban))], text
+    assert len([s for s in pii.find_pii(f"{one} {two} {one}") if s[0] == "iban"]) == 3
+    assert not [s for t in (one + "x", "x" + one, one[:-1] + "1", one + "0", "DE89 " * 9, "DE89" + "0" * 5000) for s in pii.find_pii(t) if s[0] == "iban"]
+
+
 def test_scan(spark):
     rows = [(i, t, "c", 1) for i, t in enumerate(CASES)] + [(None, "a@b.cc", "c", 1)] * 2 + [(77, "x " * 200_000 + "q@w.ee", "c", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, found string, kind int")

@@ -20,7 +20,7 @@ from sluice.operators import late, residual, routing, schema, segments, statisti
 from sluice.operators.dedup import dedup_summary, distinct_rows, keep_one, reduce_changes, split_changes
 from sluice.plans.frontend import parse_resource
 from sluice.plans.resource import Delete
-from sluice.plans.run import Options, Registry, backfill_windows, parquet_source, plan, run
+from sluice.plans.run import Options, Registry, parquet_source, plan, run
 from sluice.sinks.lake import Lake, applied_changes, commit_counts, merged_rows
 from sluice.sinks.package import Packages
 from sluice.sources.files import changed_files
@@ -557,8 +557,11 @@ def route_counts(spark, sf_dir):
 
 @query("SELECT (o_orderkey // 1000) * 1000 AS start, least((o_orderkey // 1000) * 1000 + 1000, 1000000) AS stop, count(*)::BIGINT AS rows FROM orders WHERE o_orderkey < 1000000 GROUP BY 1, 2")
 def backfill(spark, sf_dir):
-    windows = spark.createDataFrame(backfill_windows(0, 1_000_000, 1000), "start bigint, stop bigint")  # one row a window
-    orders = _table(spark, sf_dir, "orders").where("o_orderkey < 1000000").withColumn("start", F.expr("o_orderkey div 1000 * 1000"))
+    orders = _table(spark, sf_dir, "orders").where("o_orderkey IS NOT NULL").select(F.expr("o_orderkey div 1000 * 1000").alias("start"))
+    low, high = orders.agg(F.min("start"), F.max("start")).first()
+    # the windows that the table's own keys span, made in the executors; one row a window
+    starts = spark.range(0) if low is None else spark.range(low, high + 1, 1000)
+    windows = starts.select(F.col("id").alias("start"), (F.col("id") + 1000).alias("stop"))
     return orders.groupBy("start").agg(F.count(F.lit(1)).alias("rows")).join(windows, "start").select("start", "stop", "rows")
 
 

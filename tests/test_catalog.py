@@ -33,3 +33,12 @@ def test_query_equals_sql(spark, duck, name):
     have = got.toArrow().to_pandas()
     assert sorted(have.columns) == sorted(want.columns)
     assert rows(have) == rows(want)
+
+
+def test_backfill_takes_every_order(spark, tmp_path):
+    keys = [0, 5, 999_999, 1_000_000, 1_000_999, 2_500_001, 6_000_000_000, None]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/some/orders.parquet")
+    got = sorted(map(tuple, catalog.backfill(spark, f"{tmp_path}/some").collect()))
+    assert got == [(a, a + 1000, n) for a, n in ((0, 2), (999_000, 1), (1_000_000, 2), (2_500_000, 1), (6_000_000_000, 1))]
+    spark.createDataFrame([], "o_orderkey long").write.parquet(f"{tmp_path}/none/orders.parquet")
+    assert catalog.backfill(spark, f"{tmp_path}/none").count() == 0

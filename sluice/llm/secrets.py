@@ -1,6 +1,7 @@
 """Secret scans: patterns, then structural confirmation of what base64 or hex hides.
 
 The base patterns report as they are.  Beside them, runs of base64 or hex are decoded, and
+joined over line ends (escaped ones too), and
 reported only if what comes out has the structure of a secret: a key in DER whose
 nested lengths fill it exactly, an OpenSSH key container, a signed token whose header is
 JSON naming its algorithm, or text in which a base pattern matches again.
@@ -12,6 +13,8 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +33,15 @@ _WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"[0-9a-f]{32,}+")
 _SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)-----([A-Za-z0-9+/=\s]*+)-----END \1-----")
-_RUN = re.compile(r"[A-Za-z0-9+/_-]{24,}+={0,2}")
+#: White space may be escaped, once or more often, as in a key kept in JSON.
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)-----((?:[A-Za-z0-9+/=\s]|\\++[nrt/])*+)-----END \1-----")
+_ESCAPED = re.compile(r"\\+[nrt]|\\+(?=/)|\s")
+#: 12 bytes or more; an n after a backslash is a line end.
+_RUN = re.compile(r"(?:(?<=\\)[nrt])?+([A-Za-z0-9+/_-]{16,}+={0,2})")
+_BREAK = r"[ \t]*+(?:[\r\n]|\\++[nr])(?:\s|\\++[nrt])*+"
+_LINES = re.compile(rf"{_RUN.pattern}(?:{_BREAK}[A-Za-z0-9+/_-]++={{0,2}})++")
+_LINE = re.compile(rf"([A-Za-z0-9+/_-]++={{0,2}})(?:{_BREAK})?+")
+_OPENSSH = "b3BlbnNzaC1rZXktdjEA"
 _ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2})++")
 
 
@@ -86,6 +96,10 @@ def _unbase64(run: str) -> bytes:
         return b""
 
 
+def _unhex(run: str) -> bytes:
+    return bytes.fromhex(run) if len(run) % 2 == 0 and _ANY_HEX.fullmatch(run) else b""
+
+
 def _is_header(part: str) -> bool:
     try:
         header = json.loads(_unbase64(part))
@@ -94,33 +108,106 @@ def _is_header(part: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str)
 
 
+def _is_text(data: bytes) -> bool:
+    return all(9 <= b < 127 for b in data)
+
+
 def _hides(data: bytes) -> str | None:
     """The kind of secret that decoded bytes are, if any."""
     if is_key(data):
         return "key"
-    if len(data) >= 12 and all(9 <= b < 127 for b in data) and _base(data.decode("ascii")):
+    if len(data) >= 12 and _is_text(data) and _base(data.decode("ascii")):
         return "encoded"
     return None
 
 
+def _der_size(head: bytes) -> int:
+    """Bytes of the DER sequence that starts so, or 0."""
+    if len(head) < 6 or head[0] != 0x30:
+        return 0
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    return 0 if k > 4 else 2 + k + (int.from_bytes(head[2 : 2 + k], "big") if k else head[1])
+
+
+def _joined(lines: list[str], ends: list[int], at: int, decode, bits: int) -> tuple[int, str | None]:
+    """Lines from ``at`` on, joined: the line after the last one taken, and the kind of secret if they hide one.
+
+    ``ends`` are the lengths without padding up to each line, ``bits`` what one character stands for.
+    """
+    first = lines[at].rstrip("=")
+    if decode is _unbase64 and first.startswith(_OPENSSH):
+        # lines of one width and a last one that may be shorter
+        upto = at + 1
+        while upto < len(lines) and len(lines[upto]) == len(lines[at]) and lines[upto - 1][-1] != "=":
+            upto += 1
+        if upto < len(lines) and len(lines[upto]) < len(lines[at]) and lines[upto - 1][-1] != "=":
+            upto += 1
+        return upto, "key"
+    before = ends[at] - len(first)
+    if size := _der_size(decode(first[: 48 // bits])):
+        # the header tells how long the key is
+        last = bisect_left(ends, before + -(-size * 8 // bits), at)
+        if last < len(lines) and ends[last] == before + -(-size * 8 // bits) and is_key(decode("".join(lines[at : last + 1]))):
+            return last + 1, "key"
+    unit, rest, upto = (4 if bits == 6 else 2), "", at
+    while upto < len(lines):
+        rest += lines[upto].rstrip("=")
+        whole = len(rest) // unit * unit
+        data = decode(rest[:whole])
+        if len(data) * 8 != whole * bits or not _is_text(data):
+            break
+        rest, upto = rest[whole:], upto + 1
+        if lines[upto - 1][-1] == "=":
+            break
+    # up to three lines of a character each may not make a whole unit
+    for end in range(upto, max(at + 1, upto - unit), -1):
+        if kind := _hides(decode("".join(lines[at:end]))):
+            return end, kind
+    return max(upto, at + 1), None
+
+
+def _wrapped(text: str) -> list[tuple[int, int, str]]:
+    """Runs over several lines that hide a secret when they are joined."""
+    spans = []
+    for m in _LINES.finditer(text):
+        found = list(_LINE.finditer(text, m.start(1), m.end()))
+        lines = [f[1] for f in found]
+        ends = list(accumulate(len(x.rstrip("=")) for x in lines))
+        at = 0
+        while at < len(lines) - 1:
+            after = at + 1
+            if len(lines[at]) >= 16:
+                for decode, bits in ((_unhex, 4), (_unbase64, 6)):
+                    upto, kind = _joined(lines, ends, at, decode, bits)
+                    if kind and upto > at + 1:
+                        spans.append((found[at].start(1), found[upto - 1].end(1), kind))
+                        after = upto
+                        break
+                    after = max(after, upto)
+            at = after
+    return spans
+
+
 def _confirmed(text: str) -> list[tuple[int, int, str]]:
     spans = []
     if "eyJ" in text:
         spans += [(*m.span(), "token") for m in _SIGNED.finditer(text) if _is_header(m[0].split(".", 1)[0])]
     if "-----BEGIN" in text:
         for m in _ARMOUR.finditer(text):
-            if is_key(_unbase64("".join(m[2].split()))):
+            if is_key(_unbase64(_ESCAPED.sub("", m[2]))):
                 spans.append((*m.span(), "key"))
     taken = [(a, b) for a, b, _ in spans]
+    if "\n" in text or "\r" in text or "\\" in text:
+        joined = [s for s in _wrapped(text) if not any(a <= s[0] < b for a, b in taken)]
+        spans += joined
+        taken += [(a, b) for a, b, _ in joined]
     for m in _RUN.finditer(text):
-        if any(a <= m.start() < b for a, b in taken):
+        if any(a <= m.start(1) < b for a, b in taken):
             continue
-        kind = None
-        if len(m[0]) % 2 == 0 and _ANY_HEX.fullmatch(m[0]):
-            kind = _hides(bytes.fromhex(m[0]))
-        kind = kind or _hides(_unbase64(m[0]))
-        if kind:
-            spans.append((*m.span(), kind))
+        for group in (1, 0) if m.start(1) > m.start() else (1,):
+            if kind := _hides(_unhex(m[group])) or _hides(_unbase64(m[group])):
+                spans.append((*m.span(group), kind))
+                break
     return spans
 
 

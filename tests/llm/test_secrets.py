@@ -51,6 +51,29 @@ def test_structure_confirms():
     assert kinds(base64.b64encode(b"only some quiet words, nothing else").decode()) == []
 
 
+def test_short_and_wrapped_runs_are_decoded():
+    found = lambda t: [t[a:b] for a, b, k in S.find_secrets(t) if k in ("key", "encoded")]
+    for secret in (b"AKIAABCDEFGH1234", b"token=abcd1234", b"secret=abcd1234x", b"token=abcd12345"):
+        run = base64.b64encode(secret).decode()
+        for form in (run, run.rstrip("=")):
+            assert found(f"see {form} here") == [form], secret
+            assert found(rf'{{"a": "x\n{form}\n"}}') == [form], secret
+        assert S.mask_secrets(f"see {run} here") == f"see {S.MASK} here"
+    long = base64.b64encode(b"some words before and then password=correcthorse and some words after it, to the end").decode()
+    openssh = base64.b64encode(b"openssh-key-v1\0" + bytes(range(256))).decode()
+    key, text_hex = base64.b64encode(KEY).decode(), KEY.hex().upper()
+    for run in (key, long, openssh, text_hex):
+        for width in (38, 64, 70, 76):
+            for end in ("\n", "\r\n", "\n    ", r"\n", r"\r\n", r"\\n"):
+                body = end.join(run[i : i + width] for i in range(0, len(run), width))
+                for before, after in (("", ""), ("key: ", " is it"), ("anextraordinarilylongword" + end, " is it"), ("quiet words" + end, end + "-- " + end)):
+                    assert found(before + body + after) == [body], (width, end, before)
+    for end in (r"\n", r"\\n", "\n"):
+        pem = f"-----BEGIN PRIVATE KEY-----{end}{end.join(key[i : i + 64] for i in range(0, len(key), 64))}{end}-----END PRIVATE KEY-----{end}"
+        assert S.mask_secrets(f'{{"private_key": "{pem}"}}') == f'{{"private_key": "{S.MASK}{end}"}}'
+    assert found("\n".join(["internationalisation", "counterrevolutionary"] * 40)) == []
+
+
 def test_masking():
     assert S.mask_secrets("a token=12345678 b") == "a [secret] b"
     assert S.mask_secrets(None) is None and S.mask_secrets("") == ""

@@ -10,9 +10,11 @@ their place by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -28,8 +30,6 @@ CAPACITY = 1024
 END_ID = 2
 #: Hash parts of each length, so that no length's rows meet in one task.
 PARTS = 1024
-#: Rounds over the underfull bins of the local search.
-ROUNDS = 400
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int"
 
@@ -105,72 +105,85 @@ def _next(sizes: _Sizes, bound: int, content: list[int], room: int) -> int:
     return sizes.largest(min(bound, room)) if min(bound, room) > 0 else 0
 
 
-def improve_by_swaps(patterns: Counter, capacity: int, rounds: int = ROUNDS) -> Counter:
+def improve_by_swaps(patterns: Counter, capacity: int) -> Counter:
     """Exchange pieces between underfull bins so that the sum of squared fills rises.
 
     Bins of one pattern are handled together.  A step takes the emptiest pattern and
     gives its pieces to fuller bins: as a move where they fit, else against one smaller
     piece (one for one), or against one smaller piece for two.  The fuller bin becomes fuller
-    each time, so the sum of squares rises and the search ends; it stops when the sum
-    of lengths proves the count of bins least.
+    each time, so the sum of squares rises and the search ends; it stops when no step is left,
+    or when the sum of lengths proves the count of bins least.
     """
     patterns = Counter(patterns)
     total = sum(sum(p) * n for p, n in patterns.items())
-    least = -(-total // capacity)
+    least, bins = -(-total // capacity), sum(patterns.values())
+    gifts = {p: _gifts(p) for p in patterns if sum(p) < capacity}
+    waiting = [(sum(p), p) for p in gifts]
+    heapq.heapify(waiting)
     tried: set[tuple[int, ...]] = set()
-    for _ in range(rounds):
-        if sum(patterns.values()) <= least:
-            break
-        donors = sorted((p for p in patterns if sum(p) < capacity and p not in tried), key=lambda p: (sum(p), p))
-        if not donors:
-            break
-        donor = donors[0]
-        step = _better(donor, patterns, capacity)
+    while bins > least and waiting:
+        donor = heapq.heappop(waiting)[1]
+        if donor not in gifts or donor in tried:
+            continue
+        step = _better(donor, gifts[donor], gifts, patterns, capacity)
         if step is None:
             tried.add(donor)
             continue
         target, new_donor, new_target = step
-        tried.clear()
         times = patterns[donor] // 2 if target == donor else min(patterns[donor], patterns[target])
-        for old, new in ((donor, new_donor), (target, new_target)):
+        for old in (donor, target):
             patterns[old] -= times
+        changed = [p for p in (new_donor, new_target) if p]
+        for new in changed:
+            patterns[new] += times
+        bins -= times * (not new_donor)
+        for old in {donor, target}:
             if not patterns[old]:
-                del patterns[old]
-            if new:
-                patterns[new] += times
+                del patterns[old], gifts[old]
+                tried.discard(old)
+        underfull = [p for p in changed if sum(p) < capacity]
+        for new in underfull:
+            if new not in gifts:
+                gifts[new] = _gifts(new)
+        # a pattern without a step can only have got one with the bins that are new
+        again = {p for p in tried if p in underfull or _better(p, gifts[p], underfull, patterns, capacity)}
+        tried -= again
+        for p in {*again, *underfull, *(p for p in (donor, target) if p in gifts)}:
+            heapq.heappush(waiting, (sum(p), p))
     return patterns
 
 
-def _better(donor: tuple[int, ...], patterns: Counter, capacity: int) -> tuple | None:
-    best, found = 0, None
-    for target, n in patterns.items():
-        room = capacity - sum(target)
-        if not room or (target == donor and n < 2) or sum(target) < sum(donor):
+def _better(donor: tuple[int, ...], gifts: tuple, targets: Iterable[tuple[int, ...]], patterns: Counter, capacity: int) -> tuple | None:
+    """The step from ``donor`` to one of ``targets`` that fills most."""
+    sums, gives = gifts
+    fill, best, found = sum(donor), 0, None
+    for target in targets:
+        room = capacity - (full := sum(target))
+        if room <= best or full < fill or (target == donor and patterns[donor] < 2):
             continue
-        for give in _gifts(donor):
-            given = sum(give)
-            for back in (0, *sorted(set(target), reverse=True)):
-                gain = given - back
-                if 0 < gain <= room and gain > best:
-                    best = gain
-                    left = list(donor)
-                    for x in give:
-                        left.remove(x)
-                    kept = list(target)
-                    if back:
-                        kept.remove(back)
-                        left.append(back)
-                    found = (target, tuple(sorted(left, reverse=True)), tuple(sorted([*kept, *give], reverse=True)))
-        if best == room and found and found[0] == target:
-            break
-    return found
-
-
-def _gifts(donor: tuple[int, ...]) -> list[tuple[int, ...]]:
-    """One piece or two of a bin; each choice once."""
-    ones = sorted(set(donor), reverse=True)
-    pairs = {tuple(sorted((donor[i], donor[j]), reverse=True)) for i in range(min(len(donor), 64)) for j in range(i)}
-    return [(x,) for x in ones] + sorted(pairs, reverse=True)
+        for back in (0, *sorted(set(target), reverse=True)):
+            at = bisect_right(sums, room + back) - 1
+            if at >= 0 and sums[at] - back > best:
+                best, found = sums[at] - back, (target, gives[at], back)
+    if found is None:
+        return None
+    target, give, back = found
+    left, kept = list(donor), list(target)
+    for x in give:
+        left.remove(x)
+    if back:
+        kept.remove(back)
+        left.append(back)
+    return target, tuple(sorted(left, reverse=True)), tuple(sorted([*kept, *give], reverse=True))
+
+
+def _gifts(donor: tuple[int, ...]) -> tuple[list[int], list[tuple[int, ...]]]:
+    """What one piece or two of a bin sum to, rising, and for each sum the pieces, one rather than two."""
+    counts = sorted(Counter(donor).items(), reverse=True)
+    found = {x + y: (x, y) for i, (x, n) in enumerate(counts) for y, _ in counts[i + (n < 2) :]}
+    found |= {x: (x,) for x, _ in counts}
+    sums = sorted(found)
+    return sums, [found[s] for s in sums]
 
 
 def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> Counter:

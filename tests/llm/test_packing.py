@@ -30,6 +30,33 @@ def test_swaps_empty_a_bin():
     assert sum(K.improve_by_swaps(Counter({(6, 3): 1, (4, 4): 1, (3,): 1}), 10).values()) == 2
 
 
+def _steps_left(patterns, capacity):
+    """Whether any move or swap between two underfull bins fills the fuller one more, by trying all."""
+    for donor in patterns:
+        pieces = sorted(set(donor))
+        gifts = {(x,) for x in pieces} | {(x, y) for x in pieces for y in pieces if x < y or (x == y and donor.count(x) > 1)}
+        for target, n in patterns.items():
+            room = capacity - sum(target)
+            if sum(donor) < capacity and sum(target) >= sum(donor) and (target != donor or n > 1):
+                if any(0 < sum(g) - back <= room for g in gifts for back in (0, *target)):
+                    return True
+    return False
+
+
+def test_swaps_go_on_until_none_is_left():
+    rng = random.Random(9)
+    small = [Counter({tuple(sorted((rng.randint(1, 60) for _ in range(rng.randint(1, 3))), reverse=True)): rng.randint(1, 3) for _ in range(40)}) for _ in range(20)]
+    small = [Counter({p: n for p, n in c.items() if sum(p) <= 100}) for c in small]
+    # in the second, the two pieces that fit stand behind 64 others
+    many = [Counter({(400 + i, 290): 1 for i in range(300)} | {(700, 31 + i % 90, 3): 1 for i in range(300)}), Counter({(3,) * 64 + (1, 1): 1, (*[6] * 32, 5, 1): 2})]
+    for plan, capacity in [*((c, 100) for c in small), (many[0], 1024), (many[1], 200)]:
+        better = K.improve_by_swaps(plan, capacity)
+        least = -(-sum(sum(p) * n for p, n in plan.items()) // capacity)
+        pieces = lambda c: sum((Counter({x: k * n for x, k in Counter(p).items()}) for p, n in c.items()), Counter())
+        assert pieces(better) == pieces(plan) and all(0 < sum(p) <= capacity for p in better) and min(better.values()) > 0
+        assert sum(better.values()) == least or not _steps_left(better, capacity)
+
+
 def test_packing_against_the_tokenizer(spark):
     rng = random.Random(1)
     texts = [None, "", "a", "a", "Hello world! " * 700, "naïve café — 你好 <|endoftext|> x", "\x1c! \x1cb", "z" * 3000]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of two 64-bit numbers up to which a table is broadcast (some 64 bytes each, 32 MB in all).
+BROADCAST_ROWS = 500_000
+
+_LOCAL = re.compile(r"local(\[[^\]]*\])?$")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,16 +24,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it from there.
 
-    The folder is ``spark.checkpoint.dir``; a temporary one is set only where the
-    session has none, which is the case in local tests.
+    The folder is ``spark.checkpoint.dir``; a temporary one is set only where a
+    local session has none, as in tests.  A cluster without one is refused: its
+    executors could not read what the driver's own folder holds.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not _LOCAL.match(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which must be written already and narrow, to be broadcast if it has ``rows`` or fewer."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` whose (doc_id, hash of the text) is not among ``keys`` (doc_id, text_key), or is, with ``left_semi``.
+
+    Few keys are broadcast, so that the texts stay where they are.
+    """
+    id_name, key_name = unused(docs, "key_doc_id", "key_text")
+    right = if_small(keys.select(F.col("doc_id").alias(id_name), F.col("text_key").alias(key_name)))
+    return docs.join(right, F.col("doc_id").eqNullSafe(F.col(id_name)) & (F.xxhash64("text") == F.col(key_name)), how)
+
+
 def map_batches(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], pa.RecordBatch],

@@ -7,13 +7,15 @@ decode to one codeword or six.  Two fingerprints at distance three or less have
 either one error in each segment, or one segment without error beside another
 with at most one (pigeonhole).  So they meet under one of these keys:
 
-* ``K(s0) x K(s1) x d(s2)`` of one with ``d(s0) x d(s1) x K(s2)`` of the other,
-* ``s_i x K(s_j)`` of one with ``s_i x d(s_j)`` of the other, for i != j,
+* ``K(s0) x K(s1) x d(s2)`` of one and ``d(s0) x d(s1) x K(s2)`` of the other,
+* ``s_i x K(s_j)`` of both, for i != j,
 
 where ``d`` decodes a segment and ``K`` decodes its one-bit ball.  The keys have 35
-or 36 bits.  Members of a bucket are compared exactly; a bucket yields a spanning
-forest of its links, not all its pairs, and buckets over a bound are dealt anew by
-16-bit blocks of the fingerprints, of which linked pairs share one at least.
+or 36 bits, and a fingerprint has each of its keys once (some 61).  Keys that only one
+fingerprint has are dropped before any row reaches Python.  Members of a bucket are compared
+exactly; a bucket yields a spanning forest of its links, not all its pairs, and the rows of buckets
+over a bound are dealt anew by a fourth of the bits that are still free to differ, as often as
+it takes: a linked pair agrees on one fourth at least.
 """
 
 from __future__ import annotations
@@ -24,14 +26,19 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, map_batches
+from sluice.llm.common import cut, map_batches, without_keys
 
 SHINGLE = 3
 MAX_BITS = 3
 #: Members of a bucket that one task holds at once; larger buckets are dealt anew.
-BUCKET_ROWS = 1 << 20
+BUCKET_ROWS = 1 << 18
+#: Rows (key, fingerprint) that one task sorts.
+TASK_ROWS = 1 << 20
+#: Links that a task holds back to tell repeated ones.
+LINK_ROWS = 1 << 16
 #: Members that are compared one by one; more are cut by 16-bit blocks first.
 DIRECT_ROWS = 1 << 12
 
@@ -142,7 +149,8 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     who = at0[left]
     put(who, 0, k0[left].astype(np.uint64) << np.uint64(12) | k1[right].astype(np.uint64), near[2][who])
     at2, k2 = balls[2]
-    put(at2, 0, near[0][at2] << np.uint64(12) | near[1][at2], k2)
+    other = k2 != near[2][at2]  # the product holds this one already
+    put(at2[other], 0, (near[0] << np.uint64(12) | near[1])[at2[other]], k2[other])
     # a segment without error beside one with at most one
     kind = 1
     for i in range(3):
@@ -150,7 +158,6 @@ def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if i != j:
                 at, k = balls[j]
                 put(at, kind, segments[i][at], k)
-                put(everyone, kind, segments[i], near[j])
                 kind += 1
     return np.concatenate(rows), np.concatenate(keys)
 
@@ -210,75 +217,114 @@ def _runs(keys: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
 
 
-def _link_sorted(batches: Iterator[pa.RecordBatch], last_round: bool) -> Iterator[pa.RecordBatch]:
-    """Link rows (key, fp) sorted by key; rows of overfull buckets pass with their key."""
-    forest = _Forest()
-    names = ["key", "u", "v"]
-    held_key, held = None, np.zeros(0, np.int64)
-    overfull = False
+_NAMES = ["key", "free", "u", "v"]
+_SCHEMA = "key long, free long, u long, v long"
+
+
+def _bits(mask: int) -> tuple[int, ...]:
+    return tuple(i for i in range(64) if mask >> i & 1)
+
+
+def deal_anew(key: int, free: int, members: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of an overfull bucket under four keys each, one for each fourth of the bits ``free`` to differ."""
+    bits = _bits(free)
+    for b in range(MAX_BITS + 1):
+        mask = sum(1 << i for i in bits[b :: MAX_BITS + 1])
+        h = members.view(np.uint64) & np.uint64(mask)
+        for salt in (key & (1 << 64) - 1, b + 1):
+            h = (h ^ np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(27)
+        left = np.full(len(members), free & ~mask, np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(left), pa.nulls(len(members), pa.int64()), pa.array(members)], _NAMES)
+
+
+def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (u, v) of the buckets of rows (key, free, fp) sorted by key; rows of overfull buckets come out dealt anew, in v."""
+    waiting: list[np.ndarray] = []
+    size = 0
+    held_key, held_free, held, overfull = None, 0, np.zeros(0, np.int64), False
+
+    def links() -> pa.RecordBatch:
+        nonlocal waiting, size
+        pairs = np.unique(np.concatenate(waiting), axis=0)
+        waiting, size = [], 0
+        none = pa.nulls(len(pairs), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], _NAMES)
+
+    def put(u: np.ndarray, v: np.ndarray) -> None:
+        nonlocal size
+        if len(u):
+            waiting.append(np.stack((np.maximum(u, v), np.minimum(u, v)), axis=1))
+            size += len(u)
 
     def close_bucket() -> None:
-        members = np.unique(held)
-        if len(members) > 1:
-            link_members(members, forest)
+        if len(held) < 2 or overfull:
+            return
+        forest = _Forest()
+        link_members(held, forest, free=_bits(held_free))
+        linked = np.array([(v, forest.find(v)) for v in forest.parent], np.int64).reshape(-1, 2)
+        linked = linked[linked[:, 0] != linked[:, 1]]
+        put(linked[:, 0], linked[:, 1])
 
     for batch in batches:
-        keys, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        keys, frees, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
         if not len(keys):
             continue
         edges = _runs(keys)
         sizes = np.diff(edges)
         # the first run may go on from the batch before, the last one into the next
-        for r in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == 0) | (np.arange(len(sizes)) == len(sizes) - 1)):
+        inner = (np.arange(len(sizes)) > 0) & (np.arange(len(sizes)) < len(sizes) - 1)
+        twos = edges[:-1][inner & (sizes == 2)]
+        u, v = fps[twos], fps[twos + 1]
+        near = np.bitwise_count(u.view(np.uint64) ^ v.view(np.uint64)) <= MAX_BITS
+        put(u[near], v[near])
+        for r in np.flatnonzero(~inner | (sizes > 2)):
             lo, hi = edges[r], edges[r + 1]
-            key, part = keys[lo], fps[lo:hi]
-            if held_key is None or key != held_key:
-                if held_key is not None and not overfull:
-                    close_bucket()
-                held_key, held, overfull = key, part, False
+            if held_key is None or keys[lo] != held_key:
+                close_bucket()
+                held_key, held_free, held, overfull = keys[lo], int(frees[lo]) & (1 << 64) - 1, fps[lo:hi], False
             else:
-                held = np.concatenate((held, part))
-            if not overfull and len(held) > BUCKET_ROWS:
-                held = np.unique(held)
-                overfull = len(held) > BUCKET_ROWS and not last_round
-            if overfull:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), key)), pa.array(held), pa.nulls(len(held), pa.int64())], names)
+                held = np.concatenate((held, fps[lo:hi]))
+            if overfull or (len(held) > BUCKET_ROWS and held_free.bit_count() > MAX_BITS):
+                overfull = True
+                yield from deal_anew(int(held_key), held_free, held)
                 held = np.zeros(0, np.int64)
-    if held_key is not None and not overfull:
-        close_bucket()
-    linked = [(v, forest.find(v)) for v in list(forest.parent)]
-    linked = [(v, r) for v, r in linked if v != r]
-    for at in range(0, len(linked), 100_000):
-        part = np.array(linked[at : at + 100_000], np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part[:, 0]), pa.array(part[:, 1])], names)
+        if size > LINK_ROWS:
+            yield links()
+    close_bucket()
+    if size:
+        yield links()
 
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints of column ``fp`` as all links do."""
 
-    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = batch.column(0).to_numpy()
-        at, keys = bucket_keys(fps)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fps[at])], ["key", "fp"])
-
-    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                yield keyed(batch.slice(at, 4096))
-
-    def linked(pairs: DataFrame, last_round: bool) -> DataFrame:
-        dealt = pairs.repartition("key").sortWithinPartitions("key")
-        return cut(dealt.mapInArrow(lambda it: _link_sorted(it, last_round), "key long, u long, v long"))
-
-    found = linked(distinct.select("fp").mapInArrow(small, "key long, fp long"), False)
-    edges = found.where("key is null").select("u", "v")
-    rest = found.where("key is not null")
-    if not rest.isEmpty():
-        blocks = [F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("u", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("x")) for b in range(4)]
-        again = rest.select("key", F.col("u").alias("fp"), F.explode(F.array(*blocks)).alias("s"))
-        found = linked(again.select(F.xxhash64("key", "s.b", "s.x").alias("key"), "fp"), True)
-        edges = edges.unionByName(found.where("key is null").select("u", "v"))
-    return edges
+            for start in range(0, batch.num_rows, 4096):
+                fps = batch.column(0).slice(start, 4096).to_numpy()
+                at, keys = bucket_keys(fps)
+                free = np.full(len(keys), -1, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(free), pa.array(fps[at])], ["key", "free", "fp"])
+
+    def linked(rows: DataFrame, parts: int) -> DataFrame:
+        # buckets of one fingerprint go in the JVM; the window leaves the others sorted by key
+        met = F.count(F.lit(1)).over(W.partitionBy("key"))
+        dealt = rows.repartition(parts, "key").withColumn("met", met).where("met > 1").select("key", "free", "fp")
+        return cut(dealt.mapInArrow(_link_sorted, _SCHEMA))
+
+    parts = max(1, -(-distinct.count() * 61 // TASK_ROWS))
+    rows = distinct.select("fp").repartition(parts).mapInArrow(keyed, "key long, free long, fp long")
+    edges = None
+    while True:
+        found = linked(rows, parts)
+        links = found.where("key is null").select("u", "v")
+        edges = links if edges is None else edges.unionByName(links)
+        rows = found.where("key is not null").select("key", "free", F.col("v").alias("fp"))
+        if not (left := rows.count()):
+            return edges
+        parts = max(1, -(-left // TASK_ROWS))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -336,13 +382,16 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the row of its smallest doc_id.
 
-    Rows that repeat one doc_id and text count once.  All columns stay as they are.
+    Of rows that repeat one doc_id and text any one stays.  All columns stay as they are, whatever
+    their names.  Texts move only if the rows to drop are too many to broadcast their keys.
     """
     rows = cut(_grouped(docs).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
     best = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "n")).alias("b"))
-    best = cut(best.select(F.col("b.doc_id").alias("__id"), F.col("b.text_key").alias("__key"), F.col("b.n").alias("__n")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    kept = docs.join(best, same, "left_semi")
-    if best.where("__n > 1").isEmpty():
+    best = cut(best.select("root", F.col("b.doc_id").alias("best_id"), F.col("b.text_key").alias("best_key"), F.col("b.n").alias("best_n")))
+    is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_key") == F.col("best_key"))
+    kept = without_keys(docs, cut(rows.join(best, "root").where(~is_best).select("doc_id", "text_key")))
+    repeated = cut(best.where("best_n > 1").select(F.col("best_id").alias("doc_id"), F.col("best_key").alias("text_key")))
+    if repeated.isEmpty():
         return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    once = without_keys(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"])
+    return without_keys(kept, repeated).unionByName(once)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from sluice.llm import simhash as S
@@ -100,13 +101,51 @@ def test_overfull_buckets_are_dealt_anew(spark, monkeypatch):
     rng = np.random.default_rng(11)
     base = rng.integers(0, 2**64, dtype=np.uint64)
     fps = np.unique([base ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, size=rng.integers(0, 4), replace=False))) for _ in range(200)]).view(np.int64)
+    want = brute_components(fps.tolist(), fps.tolist())
+    # one bucket of all: what is held at once stays bounded, and what comes out dealt anew ends up in small buckets
     monkeypatch.setattr(S, "BUCKET_ROWS", 8)
+    rows, links, rounds = [(1, (1 << 64) - 1, fps)], [], 0
+    while rows:
+        rounds += 1
+        out = [b for key, free, m in rows for b in S._link_sorted(iter([_batch(key, free, m[i : i + 50]) for i in range(0, len(m), 50)]))]
+        again = {}
+        for b in out:
+            for key, free, u, v in zip(*(c.to_pylist() for c in b.columns)):
+                if key is None:
+                    links.append((u, v))
+                else:
+                    again.setdefault((key, free), []).append(v)
+        rows = [(key, free & (1 << 64) - 1, np.array(m, np.int64)) for (key, free), m in again.items()]
+    assert 1 < rounds < 12
+    forest = S._Forest()
+    for u, v in links:
+        forest.link(u, v)
+    assert [min(fps.tolist(), key=lambda y: (forest.find(y) != forest.find(x), y)) for x in fps.tolist()] == want
     df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
     labels = {r.vertex: r.root for r in S.connected_components(S.fingerprint_links(df)).collect()}
-    want = brute_components(fps.tolist(), fps.tolist())
     assert [labels.get(x, x) for x in fps.tolist()] == want
 
 
+def _batch(key, free, members):
+    full = lambda x: pa.array(np.full(len(members), x & (1 << 64) - 1, np.uint64).view(np.int64))
+    return pa.RecordBatch.from_arrays([full(key), full(free), pa.array(members)], ["key", "free", "fp"])
+
+
+def test_each_key_of_a_fingerprint_comes_once():
+    rng = np.random.default_rng(6)
+    at, keys = S.bucket_keys(rng.integers(0, 2**64, 500, dtype=np.uint64))
+    assert len(np.unique(np.stack((at.astype(np.uint64), keys), axis=1), axis=0)) == len(keys)
+    assert 55 < len(keys) / 500 < 66
+
+
+def test_one_row_stays_of_rows_repeated_and_names_may_clash(spark):
+    rows = [(1, "same text here")] * 300 + [(2, "same text here"), (None, "same text here"), (7, None), (7, None), (None, "lonely words stand here"), (None, "lonely words stand here")]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, key_doc_id int, key_text int, __id int").repartition(3)
+    kept = S.keep_one_per_group(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, "same text here"), (7, None), (None, "lonely words stand here")], key=str)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.near_duplicate_groups(df).count() == 0

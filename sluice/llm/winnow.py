@@ -14,13 +14,14 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut
+from sluice.llm.common import cut, without_keys
 
 WINDOW = 8
 GRAM = 5
-#: Rows of the benchmark side, or of contaminated documents' keys, up to which they are broadcast (some 64 bytes each);
-#: beyond, both sides are shuffled.
+#: Rows of distinct benchmark windows, five numbers each, up to which they are broadcast (some 80 bytes a row); beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
+#: Bytes of item_ids, over all distinct sets of items, up to which these are broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Items in which a document's windows must occur for it to count as contaminated.
 MIN_ITEMS = 2
 
@@ -75,8 +76,11 @@ def _prepared(rows: DataFrame, *keep: str) -> DataFrame:
     return hashed.select(*keep, "wh", _packed_grams("wh").alias("packed"))
 
 
-def _benchmark_grams(benchmark: DataFrame) -> DataFrame:
-    """(gram, offset, n, window, items): each distinct window under its kept gram."""
+def _benchmark_grams(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gram, offset, n, window, set_id): each distinct window under its kept gram; and (set_id, items): the items that hold it.
+
+    Both are written.  The item_ids of a window are one array, as they are in a result that hits it.
+    """
     items = _prepared(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), "item").where(F.size("wh") > 0)
     size = F.size("wh")
     starts = F.when(size >= WINDOW, F.sequence(F.lit(0), size - WINDOW)).otherwise(F.array(F.lit(0)))
@@ -94,7 +98,9 @@ def _benchmark_grams(benchmark: DataFrame) -> DataFrame:
         F.when(full, kept - F.col("j")).otherwise(F.lit(0)).alias("offset"),
         F.when(full, _hash_at("wh", F.col("j"), WINDOW)).otherwise(by_size).alias("window"),
     )
-    return rows.groupBy("gram", "offset", "n", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    grouped = rows.groupBy("gram", "offset", "n", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    grouped = cut(grouped.withColumn("set_id", F.xxhash64("items")))
+    return grouped.drop("items"), cut(grouped.groupBy("set_id").agg(F.first("items").alias("items")))
 
 
 def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -106,7 +112,7 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     they went in, null doc_ids stay, an empty table on either side gives no hits, and columns
     beside the ids and texts are not read.
     """
-    right = cut(_benchmark_grams(benchmark))
+    right, sets = _benchmark_grams(benchmark)
     short = sorted(r["n"] for r in right.where(F.col("n") < WINDOW).select("n").distinct().collect())
     small = right.count() <= BROADCAST_ROWS
 
@@ -144,13 +150,24 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # a lookup of all words of a short window is a hit as it stands
     same = (F.col("kind") == F.when(F.col("n") < WINDOW, F.col("n")).otherwise(0)) & ((F.col("n") < WINDOW) | (found == F.col("window")))
     hit = F.when(~F.col("whole") & same, F.struct(start.cast("int").alias("start"), F.col("n").cast("int").alias("n")))
-    joined = joined.select("doc_id", "text_key", "n_words", "whole", hit.alias("hit"), "items").where(F.col("whole") | F.col("hit").isNotNull())
-    per_doc = joined.groupBy("doc_id", "text_key", "n_words").agg(
+    joined = joined.select("doc_id", "text_key", "n_words", "whole", hit.alias("hit"), "set_id").where(F.col("whole") | F.col("hit").isNotNull())
+    keys = ["doc_id", "text_key", "n_words"]
+    per_doc = joined.groupBy(*keys).agg(
         F.sum(F.col("whole").cast("int")).alias("rows"),
         F.collect_set("hit").alias("hits"),
-        F.collect_set(F.when(F.col("hit").isNotNull(), F.col("items"))).alias("items"),
+        F.collect_set(F.when(F.col("hit").isNotNull(), F.col("set_id"))).alias("sets"),
     )
-    return per_doc.select(
+    if (sets.agg(F.sum(F.octet_length(F.array_join("items", ",")) + 16)).first()[0] or 0) <= BROADCAST_BYTES:
+        # joined and grouped again where the rows are
+        wide = per_doc.select(*keys, "rows", "hits", F.explode_outer("sets").alias("set_id")).join(F.broadcast(sets), "set_id", "left")
+        found = wide.groupBy(*keys).agg(F.first("rows").alias("rows"), F.first("hits").alias("hits"), F.collect_set("items").alias("items"))
+    else:
+        per_doc = cut(per_doc)
+        hit_docs = per_doc.where(F.size("sets") > 0).select(*keys, F.explode("sets").alias("set_id")).join(sets, "set_id")
+        listed = hit_docs.groupBy(*keys).agg(F.collect_set("items").alias("items"))
+        same = [F.col(f"d.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys]
+        found = per_doc.alias("d").join(listed.alias("i"), same, "left").select("d.*", F.coalesce("i.items", F.array().cast("array<array<string>>")).alias("items"))
+    return found.select(
         F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int"))).alias("copy"),
         "doc_id",
         "text_key",
@@ -182,8 +199,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     found = contamination(docs, benchmark, min_items).where("contaminated")
-    bad = cut(found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key"))
-    if bad.count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)  # the texts stay where they are
-    return docs.join(bad, same, "left_anti")
+    return without_keys(docs, cut(found.select("doc_id", "text_key").distinct()))

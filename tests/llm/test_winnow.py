@@ -53,6 +53,7 @@ def _tables():
 @pytest.mark.parametrize("bound", [10**6, 0])
 def test_against_brute_force(spark, monkeypatch, bound):
     monkeypatch.setattr(N, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(N, "BROADCAST_BYTES", bound)
     docs, items = _tables()
     d = spark.createDataFrame([(*r, "x", 1) for r in docs], "doc_id long, text string, items string, gram int").repartition(3)
     b = spark.createDataFrame([(*r, 5) for r in items], "item_id long, text string, n int")
@@ -74,5 +75,20 @@ def test_empty_tables(spark):
     assert [(r.n_words, r.n_hit, r.contaminated) for r in N.contamination(one, b).collect()] == [(8, 0, False)]
 
 
+def test_one_window_in_very_many_items(spark):
+    passage = "one window that very many items of the benchmark hold"
+    b = spark.range(30_000).selectExpr("id AS item_id", f"concat('{passage} ', id) AS text")
+    d = spark.createDataFrame([(1, f"x {passage} y"), (2, "nothing of the kind"), (3, passage)], "doc_id long, text string")
+    got = {r.doc_id: (len(r["items"]), r.n_hit) for r in N.contamination(d, b).collect()}
+    assert got == {1: (30_000, 10), 2: (0, 0), 3: (30_000, 10)}
+
+
+def test_names_that_clash(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g h", 1, 2, 3), (2, "z", 1, 2, 3)], "doc_id long, text string, key_doc_id int, key_text int, __id int")
+    b = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
+    kept = N.drop_contaminated(d, b, min_items=1)
+    assert kept.columns == d.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

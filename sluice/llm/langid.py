@@ -3,7 +3,10 @@
 Texts become TF-IDF vectors of hashed 1- to 3-grams of their lower-case form, at unit
 length.  Document frequencies cover every learning row; the weights are fitted on a
 bounded sample by follow-the-regularised-leader with elastic-net penalties, and a
-temperature fitted on a part of the sample kept apart calibrates the scores.
+temperature fitted on a part of the sample kept apart calibrates the scores.  Executors count
+the grams of the sample too: the driver gets counts, at most ``SIZE`` a text, and no texts.
+Every language that a learning row has is learnt; what the driver holds, some 0.3 MB each, grows with
+their number and with nothing else.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 1 << 15
-#: Bound of the labelled rows that the weights are fitted on; languages share it evenly.
+#: Bound of the labelled rows that the weights are fitted on: languages share ``SAMPLE_ROWS`` evenly, but have ``LANGUAGE_ROWS`` each
+#: if there are many.  As rows are drawn by chance, up to twice as many may come.
 SAMPLE_ROWS = 3000
-#: Bound of the languages that are told apart: the most frequent ones.
-MAX_LANGUAGES = 128
+LANGUAGE_ROWS = 20
 UNDETERMINED = "und"
 
 _STEP = 1 << 20
@@ -69,8 +72,8 @@ class FtrlProximal:
     n: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.z = np.zeros((SIZE + 1, self.classes))
-        self.n = np.zeros((SIZE + 1, self.classes))
+        self.z = np.zeros((SIZE + 1, self.classes), np.float32)
+        self.n = np.zeros((SIZE + 1, self.classes), np.float32)
 
     def weights(self, rows=slice(None)) -> np.ndarray:
         z, n = self.z[rows], self.n[rows]
@@ -94,30 +97,49 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
+    """``weights`` has a row for each bucket with any weight, ``row_of`` tells which, and its last row is zero."""
+
     languages: list[str]
     idf: np.ndarray
     weights: np.ndarray
+    row_of: np.ndarray
     temperature: float = 1.0
 
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and values of a text's TF-IDF vector; the last row is constant."""
-        counts = ngram_counts(text)
-        rows = np.flatnonzero(counts)
-        values = counts[rows] * self.idf[rows]
-        norm = np.sqrt(values @ values) or 1.0
-        return np.append(rows, SIZE), np.append(values / norm, 0.1)
+    @classmethod
+    def of(cls, languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float = 1.0) -> "Model":
+        used = np.flatnonzero(weights.any(axis=1))
+        row_of = np.full(SIZE + 1, len(used), np.int32)
+        row_of[used] = np.arange(len(used))
+        packed = np.concatenate((weights[used], np.zeros((1, len(languages))))).astype(np.float32)
+        return cls(languages, idf, packed, row_of, temperature)
+
+    def logits(self, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return values @ self.weights[self.row_of[rows]]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
             return UNDETERMINED, 0.0
-        rows, values = self.vector(text)
-        p = softmax(values @ self.weights[rows] / self.temperature)
+        p = softmax(self.logits(*vector(*gram_counts(text), self.idf)) / self.temperature)
         best = int(p.argmax())
         return self.languages[best], float(p[best])
 
 
-def _pieces(text: str, rng: np.random.Generator) -> list[str]:
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    counts = ngram_counts(text)
+    buckets = np.flatnonzero(counts)
+    return buckets, counts[buckets]
+
+
+def vector(buckets: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and values of a TF-IDF vector; the last row is constant."""
+    values = counts * idf[buckets]
+    norm = np.sqrt(values @ values) or 1.0
+    return np.append(buckets, SIZE), np.append(values / norm, 0.1)
+
+
+def pieces(text: str, seed: int) -> list[str]:
     """A text and three short windows of it, so that short texts are learnt too."""
+    rng = np.random.default_rng(seed)
     out = [text]
     for n in (8, 24, 80):
         at = int(rng.integers(0, max(1, len(text) - n)))
@@ -126,29 +148,34 @@ def _pieces(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
-def fit(rows: list[tuple[str, str]], languages: list[str], idf: np.ndarray, epochs: int = 3) -> Model:
-    """Fit on (text, language) rows; every fifth is kept apart for the temperature."""
+def fit(rows: list[tuple[str, list[tuple[np.ndarray, np.ndarray]]]], languages: list[str], idf: np.ndarray, epochs: int = 3) -> Model:
+    """Fit on (language, gram counts of the pieces) rows; every fifth is kept apart for the temperature."""
     rng = np.random.default_rng(0)
     rows = [rows[i] for i in rng.permutation(len(rows))]
     learner = FtrlProximal(len(languages))
-    model = Model(languages, idf, np.zeros((SIZE + 1, len(languages))))
     index = {l: i for i, l in enumerate(languages)}
-    vectors = [[(*model.vector(p), index[lang]) for p in _pieces(text, rng)] for text, lang in rows]
+    vectors = [[(*vector(*c, idf), index[lang]) for c in counts] for lang, counts in rows]
     learn = [v for i, vs in enumerate(vectors) if i % 5 or len(rows) < 20 for v in vs]
     apart = [v for i, vs in enumerate(vectors) if not i % 5 for v in vs]
     for _ in range(epochs):
         for i in rng.permutation(len(learn)):
             learner.learn(*learn[i])
-    model.weights = learner.weights().astype(np.float32)
+    model = Model.of(languages, idf, learner.weights())
     if apart:
-        logits = np.array([v @ model.weights[r] for r, v, _ in apart])
-        labels = np.array([y for *_, y in apart])
-        grid = np.exp(np.linspace(np.log(0.1), np.log(10), 81))
-        loss = [-np.log(np.maximum(softmax(logits / t)[np.arange(len(labels)), labels], 1e-12)).mean() for t in grid]
-        model.temperature = float(grid[int(np.argmin(loss))])
+        logits = np.array([model.logits(r, v) for r, v, _ in apart])
+        model.temperature = calibrate(logits, np.array([y for *_, y in apart]))
     return model
 
 
+def mean_loss(logits: np.ndarray, labels: np.ndarray, temperature: float) -> float:
+    return float(-np.log(np.maximum(softmax(logits / temperature)[np.arange(len(labels)), labels], 1e-12)).mean())
+
+
+def calibrate(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The temperature, of a grid from 0.1 to 10, under which the labels are likeliest."""
+    return float(min(np.exp(np.linspace(np.log(0.1), np.log(10), 81)), key=lambda t: mean_loss(logits, labels, t)))
+
+
 def _held_out():
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
@@ -178,19 +205,30 @@ def learn_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             df[r["bucket"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
 
-    by_lang = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    by_lang = rows.groupBy("lang").count().collect()
     if not by_lang:
-        return Model([], idf, np.zeros((SIZE + 1, 0)))
-    share = sample_rows // len(by_lang)
-    chance = F.lit(0.0)
-    for r in by_lang:
-        chance = F.when(F.col("lang") == r["lang"], min(1.0, share / r["count"])).otherwise(chance)
+        return Model.of([], idf, np.zeros((SIZE + 1, 0)))
+    bound = max(sample_rows, LANGUAGE_ROWS * len(by_lang))
+    chances = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, bound / len(by_lang) / r["count"])) for r in by_lang], "lang string, chance double")
     # drawn by the whole row, so that rows without an id are not drawn together, and alike when a task is run again
-    draw = (F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)).alias("draw")
-    drawn = rows.select("doc_id", "text", "lang", draw).where(F.col("draw") < chance)
-    sample = drawn.orderBy("draw", "lang").limit(2 * sample_rows).collect()
-    sample.sort(key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return fit([(r["text"], r["lang"]) for r in sample], sorted(r["lang"] for r in by_lang), idf)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11).alias("draw")
+    drawn = rows.select("text", "lang", draw).join(F.broadcast(chances), "lang").where(F.col("draw") / float(1 << 53) < F.col("chance"))
+    # rows that repeat others are drawn with them, but count once
+    drawn = drawn.groupBy("draw", "lang").agg(F.first("text").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                seed, lang, text = (c[i].as_py() for c in batch.columns)
+                found = [gram_counts(p) for p in pieces(text, seed)]
+                grams, counts = ([f[k].astype(t).tobytes() for f in found] for k, t in ((0, "<u2"), (1, "<u4")))
+                yield pa.RecordBatch.from_pylist([{"draw": seed, "lang": lang, "grams": grams, "counts": counts}], schema=schema)
+
+    schema = pa.schema([("draw", pa.int64()), ("lang", pa.string()), ("grams", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))])
+    counted = drawn.mapInArrow(count, "draw long, lang string, grams array<binary>, counts array<binary>")
+    sample = counted.orderBy("draw", "lang").limit(2 * bound).collect()
+    vectors = [(r["lang"], [(np.frombuffer(g, "<u2").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64)) for g, c in zip(r["grams"], r["counts"])]) for r in sample]
+    return fit(vectors, sorted(r["lang"] for r in by_lang), idf)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

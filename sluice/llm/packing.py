@@ -5,7 +5,8 @@ histogram of lengths, whose size does not grow with the data: bins of equal cont
 are one *pattern* with a count.  Best-fit decreasing gives the first patterns; a local
 search then moves or exchanges pieces (one for one, two for one) between underfull
 bins, each step raising the sum of squared fills, until bins empty.  Pieces find
-their place by their rank among the pieces of their length.
+their place by their rank among the pieces of their length: the number of the partition that
+encoded them and their count within it, so that no length, text or id gathers rows in one task.
 """
 
 from __future__ import annotations
@@ -19,42 +20,46 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sluice.llm.common import cut
+from sluice.llm.common import cut, if_small
 from sluice.llm.encoding import Encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Hash parts of each length, so that no length's rows meet in one task.
-PARTS = 1024
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, within long"
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """The pieces of every whole text: ids and ``end_id``, cut only beyond ``capacity``."""
+    """The pieces of every whole text: ids and ``end_id``, cut only beyond ``capacity``.
+
+    ``part`` is the partition and ``within`` counts its pieces of one length from 0.
+    """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     tail = np.uint32(end_id).astype("<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder, part = Encoder.of(path), TaskContext.get().partitionId()
+        seen = [0] * (capacity + 1)
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoder.ids(text or "") + tail
                 n, at, piece = len(ids) // 4, 0, 0
                 while at < n:
                     length = (n - at) % capacity or capacity
                     crc = zlib.crc32(ids[4 * at : 4 * (at + length)])
-                    for column, value in zip(out, (doc_id, piece, at, length, crc, (crc + (doc_id or 0) * 2654435761 + piece * 40503 >> 7) % PARTS)):
+                    for column, value in zip(out, (doc_id, piece, at, length, crc, part, seen[length])):
                         column.append(value)
+                    seen[length] += 1
                     at += length
                     piece += 1
             if out[0]:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [c.split()[0] for c in PIECES.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
@@ -210,15 +215,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Only the histogram of lengths (at most ``capacity`` rows) comes to the driver.
     """
-    by_part = pieces.groupBy("length", "part").count()
+    by_part = cut(pieces.groupBy("length", "part").count())
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     places = _places(plan_bins(counts, capacity))
+    # a length has one row a partition here
     before = F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    first = by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("__first"))
-    within = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = pieces.withColumn("__within", within).join(first, ["length", "part"])
+    first = cut(by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("first")))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = ranked.select(*names, (F.col("__first") + F.col("__within")).alias("rank"))
+    ranked = pieces.join(if_small(first), ["length", "part"]).select(*names, (F.col("first") + F.col("within")).alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -4,8 +4,11 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from sluice.llm import common as C
 from sluice.llm import packing as K
 
 
@@ -85,5 +88,19 @@ def test_packing_against_the_tokenizer(spark):
     assert len(bins) <= -(-sum(w[3] for w in want) // 1024) + 2
 
 
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_a_million_equal_rows(spark, monkeypatch, bound):
+    monkeypatch.setattr(C.if_small, "__defaults__", (bound,))
+    n = 1_000_000 if bound else 20_000
+    rows = spark.range(n, numPartitions=8).selectExpr("cast(null as long) AS doc_id", "cast(null as string) AS text")
+    got = K.pack_documents(rows.unionByName(spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")))
+    tasks = got.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert max(r["count"] for r in tasks) <= n / 8 + 2 or not bound
+    shape = got.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.countDistinct("offset").alias("places"), F.count("*").alias("pieces"), F.max(F.col("offset") + F.col("length")).alias("end"))
+    filled = shape.agg(F.count("*"), F.max("fill"), F.sum(F.expr("int(places <> pieces or end <> fill)")), F.sum("pieces")).first()
+    tokens = got.agg(F.sum("length")).first()[0]
+    assert tuple(filled) == (-(-tokens // 1024), 1024, 0, n + 2)
+
+
 def test_empty_table(spark):
     assert K.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0

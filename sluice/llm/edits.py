@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import random
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -18,6 +19,9 @@ import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
+
+from sluice.llm.encoding import UNSURE
 
 BLOCK = 64
 
@@ -25,7 +29,11 @@ Edit = tuple[int, int, str]
 
 
 class PieceCounter:
-    """Pre-tokens of a text and how many ids each has; special tokens are ordinary text."""
+    """Pre-tokens of a text and how many ids each has; special tokens are ordinary text.
+
+    Code points whose class differs between Unicode versions are taken for what the tokenizer's
+    JSON file beside the ranks makes of them, so that counts agree with the tokenizer's.
+    """
 
     CACHE = 200_000
     _known: dict[str, "PieceCounter"] = {}
@@ -36,6 +44,27 @@ class PieceCounter:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.core = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._core_bpe
         self.cache: dict[str, int] = {}
+        whole = Path(ranks).with_suffix(".json")
+        self.split = Tokenizer.from_file(str(whole)).pre_tokenizer.pre_tokenize_str if whole.exists() else None
+        self.alike: dict[str, str] = {}
+
+    def plain(self, text: str) -> str:
+        """``text`` with a well-known code point of the same class in place of each unsure one, to be matched."""
+        return UNSURE.sub(self._like, text) if self.split and UNSURE.search(text) else text
+
+    def _like(self, m: re.Match[str]) -> str:
+        c = m[0]
+        if c not in self.alike:
+            if len(self.alike) > self.CACHE:
+                self.alike.clear()
+            self.alike[c] = next((like for like in "x0!" if len(self.split(like + c + like)) == 1), "\t")
+        return self.alike[c]
+
+    def pieces(self, text: str) -> list[str]:
+        plain = self.plain(text)
+        if plain is text:
+            return self.pattern.findall(text)
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(plain)]
 
     @classmethod
     def of(cls, ranks: str) -> "PieceCounter":
@@ -115,7 +144,7 @@ class TokenTree:
     def __init__(self, text: str, counter: PieceCounter, block: int = BLOCK) -> None:
         self.counter, self.block, self.random = counter, block, random.Random(17)
         self.reencoded = 0
-        pieces = counter.pattern.findall(text)
+        pieces = counter.pieces(text)
         self.root = self._build(pieces, counter.counts(pieces))
 
     @property
@@ -183,18 +212,19 @@ class TokenTree:
             ends[where + shift - at] = k + 1
         fresh: list[str] = []
         pos, keep = 0, len(old)
-        match = self.counter.pattern.match
+        plain, match = self.counter.plain(text), self.counter.pattern.match
         while True:
             if pos >= edited and pos in ends:
                 # what follows is read as before from here, whatever stands behind
                 keep = ends[pos]
                 break
-            m = match(text, pos) if pos < len(text) else None
+            m = match(plain, pos) if pos < len(text) else None
             if m is None or m.end() == len(text):
                 grown = len(old)
                 if take():
                     more = "".join(old[grown:])
                     text += more
+                    plain += self.counter.plain(more)
                     for k in range(grown, len(old)):
                         where += len(old[k])
                         ends[where + shift - at] = k + 1
@@ -202,7 +232,7 @@ class TokenTree:
                 if m is None:
                     keep = len(old)
                     break
-            fresh.append(m[0])
+            fresh.append(text[pos : m.end()])
             pos = m.end()
         counts = self.counter.counts(fresh)
         self.reencoded += len(fresh)

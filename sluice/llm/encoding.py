@@ -21,7 +21,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 #: Letters whose class may differ between Unicode versions.
-UNSURE = re.compile("[^\x00-\x1b\x20-ԯḀ-῿ -₿]")
+UNSURE = re.compile("[^\x00-\x1b\x20-\u052f\u1e00-\u1fff\u2010-\u205f\u20a0-\u20bf]")
 
 
 def ranks_beside(path: str) -> dict[bytes, int] | None:

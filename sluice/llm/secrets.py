@@ -1,10 +1,11 @@
 """Secret scans: patterns, then structural confirmation of what base64 or hex hides.
 
-The base patterns report as they are.  Beside them, runs of base64 or hex are decoded, and
-joined over line ends (escaped ones too), and
+The base patterns report as they are.  Beside them, runs of base64 or hex are decoded, joined over line ends
+(escaped ones too) or taken between the hyphens and underscores that may glue a prefix to them, and
 reported only if what comes out has the structure of a secret: a key in DER whose
-nested lengths fill it exactly, an OpenSSH key container, a signed token whose header is
-JSON naming its algorithm, or text in which a base pattern matches again.
+nested lengths fill it exactly, an OpenSSH key container, an armoured key (encrypted ones by their
+headers and block size), a signed token whose header is
+JSON naming its algorithm, or text in which any of this is found again, however often it is encoded.
 """
 
 from __future__ import annotations
@@ -33,11 +34,16 @@ _WORDS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 _HEX = re.compile(r"[0-9a-f]{32,}+")
 _SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+")
-#: White space may be escaped, once or more often, as in a key kept in JSON.
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)-----((?:[A-Za-z0-9+/=\s]|\\++[nrt/])*+)-----END \1-----")
-_ESCAPED = re.compile(r"\\+[nrt]|\\+(?=/)|\s")
+#: Line ends may be escaped, once or more often, as in a key kept in JSON.
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}?)-----((?:[^-]|-(?!----))*+)-----END \1-----")
+_HEADER = re.compile(r"[A-Za-z0-9-]+: ")
+_BODY = re.compile(r"[A-Za-z0-9+/]+={0,2}")
+_LINE_ENDS = re.compile(r"\\+[nr]|[\r\n]+")
+_ESCAPED = re.compile(r"\\+t|\\+(?=/)|\s")
 #: 12 bytes or more; an n after a backslash is a line end.
 _RUN = re.compile(r"(?:(?<=\\)[nrt])?+([A-Za-z0-9+/_-]{16,}+={0,2})")
+#: What a prefix may be glued to.
+_PART = re.compile(r"[A-Za-z0-9+/]{16,}+={0,2}")
 _BREAK = r"[ \t]*+(?:[\r\n]|\\++[nr])(?:\s|\\++[nrt])*+"
 _LINES = re.compile(rf"{_RUN.pattern}(?:{_BREAK}[A-Za-z0-9+/_-]++={{0,2}})++")
 _LINE = re.compile(rf"([A-Za-z0-9+/_-]++={{0,2}})(?:{_BREAK})?+")
@@ -116,8 +122,10 @@ def _hides(data: bytes) -> str | None:
     """The kind of secret that decoded bytes are, if any."""
     if is_key(data):
         return "key"
-    if len(data) >= 12 and _is_text(data) and _base(data.decode("ascii")):
-        return "encoded"
+    if len(data) >= 12 and _is_text(data):
+        text = data.decode("ascii")
+        if _base(text) or _confirmed(text):
+            return "encoded"
     return None
 
 
@@ -188,25 +196,59 @@ def _wrapped(text: str) -> list[tuple[int, int, str]]:
     return spans
 
 
+def _is_armoured(label: str, inside: str) -> bool:
+    """Whether what stands between two armour lines is a key."""
+    lines = [line.strip() for line in _LINE_ENDS.split(inside)]
+    body = next((i for i, line in enumerate(lines) if line and not _HEADER.match(line)), len(lines))
+    joined = _ESCAPED.sub("", "".join(lines[body:]))
+    if not _BODY.fullmatch(joined):
+        return False
+    data = _unbase64(joined)
+    if any("ENCRYPTED" in line for line in lines[:body]):
+        return label.endswith("PRIVATE KEY") and len(data) >= 16 and len(data) % 8 == 0
+    return is_key(data)
+
+
+def _run_secret(run: str) -> tuple[int, int, str] | None:
+    """The part of a run that hides a secret, and its kind: all of it, what follows its first hyphen or underscore, or what stands between two."""
+    parts = [(0, len(run))]
+    if cuts := [i for i, c in enumerate(run) if c in "-_"]:
+        parts += [(cuts[0] + 1, len(run)), *(m.span() for m in _PART.finditer(run))]
+    for a, b in parts:
+        if b - a >= 16 and (kind := _hides(_unhex(run[a:b])) or _hides(_unbase64(run[a:b]))):
+            return a, b, kind
+    return None
+
+
+class _Taken:
+    """Spans that were found, to be asked in rising order."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.spans, self.at, self.reach = sorted(spans), 0, 0
+
+    def holds(self, start: int) -> bool:
+        while self.at < len(self.spans) and self.spans[self.at][0] <= start:
+            self.reach = max(self.reach, self.spans[self.at][1])
+            self.at += 1
+        return start < self.reach
+
+
 def _confirmed(text: str) -> list[tuple[int, int, str]]:
     spans = []
     if "eyJ" in text:
         spans += [(*m.span(), "token") for m in _SIGNED.finditer(text) if _is_header(m[0].split(".", 1)[0])]
     if "-----BEGIN" in text:
-        for m in _ARMOUR.finditer(text):
-            if is_key(_unbase64(_ESCAPED.sub("", m[2]))):
-                spans.append((*m.span(), "key"))
-    taken = [(a, b) for a, b, _ in spans]
+        spans += [(*m.span(), "key") for m in _ARMOUR.finditer(text) if _is_armoured(m[1], m[2])]
     if "\n" in text or "\r" in text or "\\" in text:
-        joined = [s for s in _wrapped(text) if not any(a <= s[0] < b for a, b in taken)]
-        spans += joined
-        taken += [(a, b) for a, b, _ in joined]
+        taken = _Taken([s[:2] for s in spans])
+        spans += [s for s in _wrapped(text) if not taken.holds(s[0])]
+    taken = _Taken([s[:2] for s in spans])
     for m in _RUN.finditer(text):
-        if any(a <= m.start(1) < b for a, b in taken):
+        if taken.holds(m.start(1)):
             continue
         for group in (1, 0) if m.start(1) > m.start() else (1,):
-            if kind := _hides(_unhex(m[group])) or _hides(_unbase64(m[group])):
-                spans.append((*m.span(group), kind))
+            if found := _run_secret(m[group]):
+                spans.append((m.start(group) + found[0], m.start(group) + found[1], found[2]))
                 break
     return spans
 

@@ -2,6 +2,7 @@ import base64
 import json
 import random
 import re
+import time
 
 from sluice.llm import secrets as S
 
@@ -74,6 +75,44 @@ def test_short_and_wrapped_runs_are_decoded():
     assert found("\n".join(["internationalisation", "counterrevolutionary"] * 40)) == []
 
 
+def test_nested_prefixed_and_encrypted_secrets():
+    found = lambda t: [t[a:b] for a, b, k in S.find_secrets(t) if k in ("key", "encoded", "token")]
+    b64 = lambda x: base64.b64encode(x).decode()
+    once = b64(b"password=correcthorse")
+    for run in (b64(once.encode()), b64(b64(once.encode()).encode()), once.encode().hex(), b64(b"see " + KEY.hex().upper().encode()), b64(JWT.encode())):
+        assert found(f"before {run} after") == [run]
+    assert found(f"sk_{once} x") == [once] and found(f"x_live-{b64(KEY)}") == [b64(KEY)]
+    url = base64.urlsafe_b64encode(b"token=abcdefgh??>>~~").decode()
+    assert ("-" in url or "_" in url) and found(f"v1_{url}.") == [url]
+    body = b64(bytes(range(160)))
+    for end in ("\n", "\r\n", r"\n"):
+        head = f"Proc-Type: 4,ENCRYPTED{end}DEK-Info: AES-128-CBC,0123456789ABCDEF{end}{end}"
+        for inside, label, is_it in ((head + body, "RSA PRIVATE KEY", True), (head + body, "MESSAGE", False), (head + b64(b"short"), "RSA PRIVATE KEY", False), (f"Comment: mine{end}{b64(KEY)}", "PRIVATE KEY", True)):
+            pem = f"-----BEGIN {label}-----{end}{inside}{end}-----END {label}-----"
+            assert (pem in found(f"a {pem} b")) == is_it, (label, inside)
+
+
+def test_added_spans_against_planted_ones():
+    rng = random.Random(12)
+    for _ in range(300):
+        text, want = "", []
+        for _ in range(rng.randint(1, 6)):
+            text += " ".join(rng.choice(["plain", "words", "über", "12", "x-y", "and-so_on", "AAAA"]) for _ in range(rng.randint(1, 9))) + rng.choice([" ", "\n\n", "(", "'"])
+            inside = rng.choice([b"secret=%08d" % rng.randrange(10**8), KEY, b"AKIA%012d" % rng.randrange(10**12), bytes(rng.choices(range(128, 256), k=40))])
+            run = base64.b64encode(inside).decode() if rng.random() < 0.7 else inside.hex().upper()
+            if inside[0] < 128:
+                want.append((len(text), len(text) + len(run), "key" if inside is KEY else "encoded"))
+            text += run + rng.choice([" ", "; ", ")", ", "])
+        assert [s for s in S.find_secrets(text) if s[2] not in S.BASE_KINDS] == want, text
+
+
+def test_very_many_secrets_take_linear_time():
+    run = base64.b64encode(b"password=correcthorse").decode()
+    began = time.process_time()
+    assert len(S.find_secrets(f"{run} " * 40_000)) == 40_000
+    assert time.process_time() - began < 20
+
+
 def test_masking():
     assert S.mask_secrets("a token=12345678 b") == "a [secret] b"
     assert S.mask_secrets(None) is None and S.mask_secrets("") == ""

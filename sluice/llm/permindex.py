@@ -8,7 +8,9 @@ by the exact inner product in double precision.  For the largest inner product,
 component that brings them all to one length, which keeps the order of nearness.
 
 The query set meets all rows in blocks: a task holds one block of queries and one of the
-index, and hands on only its best rows for each query.
+index, and hands on only its best rows for each query.  Posting lists that are keyed by pivot across the
+cluster would shuffle every touched (query, vector) pair as a row instead; on vectors without structure, as
+those at hand, a fifth of all pairs is touched before nine tenths of the nearest are among them.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ NEIGHBOURS = 20
 RERANK_SHARE = 0.1
 RERANK_LEAST = 400
 INDEX_BLOCK = 16_384
-QUERY_BLOCK = 16_384
+#: Bytes of query vectors, as doubles, that one task holds: the index is copied once for so many, so the block is as large as memory allows.
+QUERY_BYTES = 32 << 20
 
 
 def valid_vectors(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -174,7 +177,7 @@ def nearest(
     rows = rows.where(F.size("v") == width)
     asked = valid_vectors(queries, vector).where(F.col("vec_id").isNotNull() & (F.size("v") == width))
     pivots = choose_pivots(rows)
-    index_blocks, query_blocks = -(-count // INDEX_BLOCK), -(-max(1, asked.count()) // QUERY_BLOCK)
+    index_blocks, query_blocks = -(-count // INDEX_BLOCK), -(-max(1, asked.count()) // max(1, QUERY_BYTES // (8 * width)))
 
     def dealt(df: DataFrame, own: int, other: int, mine: str, theirs: str, is_query: bool) -> DataFrame:
         block = F.pmod(F.xxhash64("vec_id"), F.lit(own)).cast("int").alias(mine)

@@ -27,7 +27,7 @@ def test_recall_and_blocks(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, v / np.linalg.norm(v) * s) for i, (v, s) in enumerate(zip(rng.standard_normal((3000, 48)), rng.uniform(0.5, 2, 3000)))]
     monkeypatch.setattr(P, "INDEX_BLOCK", 800)
-    monkeypatch.setattr(P, "QUERY_BLOCK", 60)
+    monkeypatch.setattr(P, "QUERY_BYTES", 60 * 48 * 8)
     got, want = _search(spark, rows, share=0.1, least=150), brute(rows, range(0, 3000, 20))
     assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
     assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) > 0.9

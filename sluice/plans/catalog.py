@@ -467,13 +467,13 @@ def late_quarantine(spark, sf_dir):
 
 @query("SELECT event_type, count(*)::BIGINT AS rows FROM events GROUP BY event_type")
 def drain_epochs(spark, sf_dir):
-    """events as a stream, drained in epochs into a target; late rows are marked, so none is lost."""
+    """events as a stream, drained in epochs of 4,000 rows or more into a target; late rows are marked, so none is lost."""
     from sluice.plans.resource import Execution
     from sluice.streaming.epochs import Drain, EpochState
 
     root = scratch(spark)
     lake = Lake(spark, root)
-    execution = Execution("drain", ("batches", 1), ("batches", 1), ("quiescent", 0), "admit_with_annotation", "ts")
+    execution = Execution("drain", ("batches", 1), ("rows", 4000), ("quiescent", 0), "admit_with_annotation", "ts")
     state = EpochState(spark, f"{root}/state")
 
     def settle(rows: DataFrame, late_rows: DataFrame, epoch: int, watermark) -> int:
@@ -555,7 +555,7 @@ def route_counts(spark, sf_dir):
     return routing.route_counts(_table(spark, sf_dir, "orders"), "o_orderstatus", 3)
 
 
-@query("SELECT (o_orderkey // 1000) * 1000 AS start, least((o_orderkey // 1000) * 1000 + 1000, 1000000) AS stop, count(*)::BIGINT AS rows FROM orders WHERE o_orderkey < 1000000 GROUP BY 1, 2")
+@query("SELECT (o_orderkey // 1000) * 1000 AS start, (o_orderkey // 1000) * 1000 + 1000 AS stop, count(*)::BIGINT AS rows FROM orders WHERE o_orderkey IS NOT NULL GROUP BY 1, 2")
 def backfill(spark, sf_dir):
     orders = _table(spark, sf_dir, "orders").where("o_orderkey IS NOT NULL").select(F.expr("o_orderkey div 1000 * 1000").alias("start"))
     low, high = orders.agg(F.min("start"), F.max("start")).first()

@@ -1,23 +1,26 @@
 """Finite drains of a stream, epoch by epoch: each epoch is a package, a receipt and a checkpoint.
 
 One micro-batch of an ``availableNow`` query is one frontier.  The controller decides on counts
-alone when frontiers close a package and when the drain ends; rows stay in the executors.
+alone when frontiers close a package and when the drain ends, and the drain does what it says: frontiers of an
+open epoch are written to shared storage and settled together when the epoch closes; rows stay in the executors.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 from decimal import Decimal
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.errors import ContractError, PositionError
-from sluice.operators.late import LATE, LateSplit, partition_watermarks, split_late
+from sluice.operators.late import LATE, LateSplit, split_late
 from sluice.plans.resource import Execution
 from sluice.storage import Folder
 
@@ -79,26 +82,50 @@ def _untyped(pair: list | None):
     return None if pair is None else _KINDS[pair[0]](pair[1])
 
 
+@dataclass(frozen=True)
+class Progress:
+    """What a frontier leaves: the committed watermark, the claims so far, and the epoch that is open with its frontiers."""
+
+    watermark: object = None
+    claims: dict = field(default_factory=dict)
+    epoch: int = 0
+    pending: tuple[int, ...] = ()
+    gathered: Magnitudes = Magnitudes()
+    since_checkpoint: Magnitudes = Magnitudes()
+
+
 class EpochState:
-    """What epochs leave to the next one, in a folder of shared storage: watermark, claims and withheld rows.
+    """What frontiers leave to the next one, in a folder of shared storage: progress, open epochs' rows, withheld rows.
 
-    An epoch reads what the one before it left, so an epoch that runs again after a crash decides alike.
+    A frontier reads what the one before it left, so one that runs again after a crash decides alike.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root, self.folder = spark, root.rstrip("/"), Folder(spark, root)
 
-    def load(self, epoch: int) -> tuple[object, dict]:
-        """(watermark, claims) after an epoch; nothing before the first."""
-        name = f"epochs/{epoch:012d}.json"
+    def load(self, frontier: int) -> Progress:
+        """Progress after a frontier; none before the first."""
+        name = f"frontiers/{frontier:012d}.json"
         if not self.folder.exists(name):
-            return None, {}
+            return Progress()
         found = json.loads(self.folder.read(name))
-        return _untyped(found["watermark"]), {_untyped(k): _untyped(v) for k, v in found["claims"]}
+        claims = {_untyped(k): _untyped(v) for k, v in found["claims"]}
+        return Progress(_untyped(found["watermark"]), claims, found["epoch"], tuple(found["pending"]), Magnitudes(*found["gathered"]), Magnitudes(*found["since_checkpoint"]))
+
+    def save(self, frontier: int, p: Progress) -> None:
+        claims = [[_typed(k), _typed(v)] for k, v in sorted(p.claims.items(), key=str)]
+        body = {"watermark": _typed(p.watermark), "claims": claims, "epoch": p.epoch, "pending": p.pending, "gathered": astuple(p.gathered), "since_checkpoint": astuple(p.since_checkpoint)}
+        self.folder.write(f"frontiers/{frontier:012d}.json", json.dumps(body, sort_keys=True), overwrite=True)
+
+    def latest(self) -> int | None:
+        found = [int(name.removesuffix(".json")) for name, *_ in self.folder.list("frontiers") if name.endswith(".json") and not name.startswith(".")]
+        return max(found, default=None)
+
+    def stage(self, frontier: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.root}/pending/{frontier:012d}")
 
-    def save(self, epoch: int, watermark, claims: dict) -> None:
-        body = {"watermark": _typed(watermark), "claims": [[_typed(k), _typed(v)] for k, v in sorted(claims.items(), key=str)]}
-        self.folder.write(f"epochs/{epoch:012d}.json", json.dumps(body, sort_keys=True), overwrite=True)
+    def staged(self, frontiers: tuple[int, ...]) -> list[DataFrame]:
+        return [self.spark.read.parquet(f"{self.root}/pending/{f:012d}") for f in frontiers]
 
     def withhold(self, epoch: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.root}/late/{epoch:012d}")
@@ -108,66 +135,128 @@ class EpochState:
         return self.spark.read.parquet(f"{self.root}/{name}") if self.folder.exists(f"{name}/_SUCCESS") else None
 
 
+class DrainEnded(Exception):
+    """A frontier came after the drain had ended; it stays with the source, for the next drain."""
+
+
 @dataclass
 class Drain:
     """Runs the micro-batches of a stream as epochs with committed watermarks and late rows.
 
-    ``settle(rows, quarantined, epoch, watermark)`` delivers one epoch, must be idempotent by epoch number, and gives
-    the rows it delivered (None if they are not measured).  Rows are late against the watermark that earlier epochs committed.  Recaptured rows are held back once and admitted with the
+    ``settle(rows, quarantined, epoch, watermark)`` delivers one epoch and must be idempotent by epoch number.  An
+    epoch closes when the execution's package trigger says so, and the last one when the drain ends: because the source has nothing
+    more, or at the bound that the execution sets, behind which frontiers are left to the next drain.
+    Rows are late against the watermark that earlier epochs committed.  Recaptured rows are held back once and admitted with the
     next epoch, whatever the watermark is then.
+
+    Claims are the greatest event times seen in each source partition; or those of the column ``claim``, which the
+    source itself makes, and which must not go back.  The watermark waits while any partition seen, or named in
+    ``partitions``, has no claim, but for ``idle`` ones.  Bytes are those of rows as JSON text.
     """
 
     execution: Execution
-    settle: Callable[[DataFrame, DataFrame, int, object], int | None]
+    settle: Callable[[DataFrame, DataFrame, int, object], object]
     state: EpochState
     partition: str | None = None
     event_time: str | None = None
+    claim: str | None = None
+    partitions: tuple = ()
+    idle: tuple = ()
     watermark: object = None
-    claims: dict = field(default_factory=dict)
     log: list = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if self.execution.kind != "drain":
             raise ContractError("a drain needs EXECUTION DRAIN")
         self.controller = Controller(self.execution)
-
-    def on_batch(self, batch: DataFrame, epoch: int) -> None:
-        began = time.monotonic()
-        if epoch:
-            self.watermark, self.claims = self.state.load(epoch - 1)
-        before = self.watermark
-        if self.event_time and before is not None:
-            split = split_late(batch, self.event_time, before, self.execution.late)
+        self.ended, self._last = False, time.monotonic()
+
+    def on_batch(self, batch: DataFrame, frontier: int) -> None:
+        if self.ended:
+            raise DrainEnded(f"frontier {frontier} comes after the drain")
+        p = self.state.load(frontier - 1)
+        self.controller.epoch, self.controller.since_checkpoint = p.gathered, p.since_checkpoint
+        rows, size, claims = self._measured(batch, p.claims)
+        low = self._low(claims, p.watermark)
+        now = time.monotonic()
+        seen = Magnitudes(1, rows, size, int((now - self._last) * 1000), _advance(p.watermark, low))
+        self._last = now
+        kind, bound = self.execution.until or ("quiescent", 0)
+        decision = self.controller.offer(seen, frontier_reached=kind == "frontier" and low is not None and low >= bound)
+        if decision in ("terminate", "rotate"):
+            p = self._close([*self.state.staged(p.pending), batch], p, claims)
+        else:
+            self.state.stage(frontier, batch)
+            p = Progress(p.watermark, claims, p.epoch, (*p.pending, frontier), self.controller.epoch, self.controller.since_checkpoint)
+        self.state.save(frontier, p)
+        self.watermark = p.watermark
+        self.log.append((frontier, decision))
+        self.ended = decision == "terminate"
+
+    def _measured(self, batch: DataFrame, claims: dict) -> tuple[int, int, dict]:
+        """Rows, bytes and the claims after a batch; one row a source partition, whose number is the source's, not the data's."""
+        size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+        measures = [F.count(F.lit(1)).alias("rows"), size.alias("bytes")]
+        if not (self.event_time and self.partition):
+            r = batch.agg(*measures).first()
+            return r["rows"], r["bytes"], claims
+        claims = dict(claims)
+        found = batch.groupBy(F.col(self.partition).alias("part")).agg(F.max(self.claim or self.event_time).alias("claim"), *measures).collect()
+        for r in found:
+            old, new = claims.get(r["part"]), r["claim"]
+            if self.claim and old is not None and new is not None and new < old:
+                raise PositionError(f"the watermark of partition {r['part']} went back from {old} to {new}")
+            claims[r["part"]] = old if new is None else new if old is None else max(old, new)
+        return sum(r["rows"] for r in found), sum(r["bytes"] for r in found), claims
+
+    def _low(self, claims: dict, before):
+        """The least claim, never before the committed watermark; that one while any partition that is not idle has no claim."""
+        known = [claims.get(k) for k in {*claims, *self.partitions} if k not in self.idle]
+        if not known or any(v is None for v in known):
+            return before
+        return min(known) if before is None else max(before, min(known))
+
+    def _close(self, parts: list[DataFrame], p: Progress, claims: dict) -> Progress:
+        """Settle the open epoch; then the watermark of its claims is committed."""
+        rows = functools.reduce(DataFrame.unionByName, parts)
+        if self.event_time and p.watermark is not None:
+            split = split_late(rows, self.event_time, p.watermark, self.execution.late)
         else:
-            none = batch.where(F.lit(False))
-            split = LateSplit(batch.withColumn(LATE, F.lit(False)) if self.execution.late == "admit_with_annotation" and self.event_time else batch, none, none)
+            none = rows.where(F.lit(False))
+            split = LateSplit(rows.withColumn(LATE, F.lit(False)) if self.execution.late == "admit_with_annotation" and self.event_time else rows, none, none)
         admitted = split.admitted
-        if (held := self.state.withheld(epoch - 1)) is not None:
+        if (held := self.state.withheld(p.epoch - 1)) is not None:
             admitted = admitted.unionByName(held)
-        rows = self.settle(admitted, split.quarantined, epoch, before)
+        self.settle(admitted, split.quarantined, p.epoch, p.watermark)
         if self.execution.late == "recapture_next_epoch":
-            self.state.withhold(epoch, split.carried)
-        self._advance(batch)
-        self.state.save(epoch, self.watermark, self.claims)
-        advance = self.watermark - before if isinstance(self.watermark, int) and isinstance(before, int) else None
-        done = Magnitudes(1, rows, None, int((time.monotonic() - began) * 1000), advance)
-        self.log.append((epoch, self.controller.offer(done)))
-
-    def _advance(self, batch: DataFrame) -> None:
-        """Take the batch's claims per source partition; the number of partitions is the source's, not the data's."""
-        if not (self.event_time and self.partition):
-            return
-        for r in partition_watermarks(batch, self.partition, self.event_time).collect():
-            old = self.claims.get(r[self.partition])
-            if r["watermark"] is not None:
-                self.claims[r[self.partition]] = r["watermark"] if old is None else max(old, r["watermark"])
-        if self.claims:
-            low = min(self.claims.values())
-            self.watermark = low if self.watermark is None else max(self.watermark, low)
+            self.state.withhold(p.epoch, split.carried)
+        return Progress(self._low(claims, p.watermark), claims, p.epoch + 1)
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         """Drain what the stream has now.  ``checkpoint`` is the query's own folder, in shared storage."""
         if not stream.isStreaming:
             raise PositionError("a drain reads a stream")
         query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(self.on_batch).start()
-        query.awaitTermination()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException:
+            if not self.ended:
+                raise
+        if not self.ended and (last := self.state.latest()) is not None:
+            # the source has nothing more: the open epoch is settled as it is
+            p = self.state.load(last)
+            if p.pending:
+                p = self._close(self.state.staged(p.pending), p, p.claims)
+                self.state.save(last, p)
+            self.watermark, self.ended = p.watermark, True
+
+
+def _advance(before, after) -> int | None:
+    """How far a watermark came: in its own unit, days for dates, milliseconds for times; None if that has no measure."""
+    if before is None or after is None:
+        return None
+    if isinstance(after, dt.datetime):
+        return int((after - before).total_seconds() * 1000)
+    if isinstance(after, dt.date):
+        return (after - before).days
+    return int(after - before) if isinstance(after, (int, Decimal)) else None

@@ -272,8 +272,80 @@ def test_drain_loses_no_row(spark, tmp_path, action):
         assert lake.read("t").count() == 11 and lake.read("t").where("t = 1").count() == 1
     else:
         assert len(got) == 10
-    # an epoch that runs again decides and delivers alike
+    # a frontier that runs again decides and delivers alike
     again = drain()
     again.on_batch(spark.createDataFrame(batches[1], "p string, t bigint"), 1)
     n = lake.read("t").count()
     assert again.watermark == 9 and n == (11 if action == "recapture_next_epoch" else len(got))
+
+
+def _stream(spark, tmp_path, batches, schema="p string, t bigint"):
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{time.time_ns()}-{i}")
+        time.sleep(0.02)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+
+
+def test_epochs_close_by_rows_and_the_last_one_with_the_source(spark, tmp_path):
+    epochs = {}
+
+    def settle(rows, bad, epoch, watermark):
+        epochs.setdefault(epoch, (watermark, sorted(r["t"] for r in rows.collect()), sorted(r["t"] for r in bad.collect())))
+
+    def drain():
+        return Drain(Execution("drain", ("batches", 1), ("rows", 5), ("quiescent", 0), "quarantine", "t"), settle, EpochState(spark, f"file://{tmp_path}/state"), "p", "t")
+
+    stream = _stream(spark, tmp_path, [[("a", 10), ("a", 11)], [("a", 12), ("a", 3)], [("a", 13), ("a", 14)], [("a", 1), ("a", 15)], [("a", 16)]])
+    first = drain()
+    first.run(stream, f"{tmp_path}/checkpoint")
+    # rows are late against what earlier epochs committed, not against the open one
+    assert epochs == {0: (None, [3, 10, 11, 12, 13, 14], []), 1: (14, [15, 16], [1])}
+    assert [d for _, d in first.log] == ["checkpoint", "checkpoint", "rotate", "checkpoint", "checkpoint"] and first.watermark == 16
+    # a drain that dies in an open epoch leaves it to the next, which reads the frontier anew
+    stream = _stream(spark, tmp_path, [[("a", 20)]])
+    dying = drain()
+    dying.on_batch(spark.createDataFrame([("a", 20)], "p string, t bigint"), 5)
+    assert dying.log == [(5, "checkpoint")] and 2 not in epochs
+    drain().run(stream, f"{tmp_path}/checkpoint")
+    assert epochs[2] == (16, [20], [])
+
+
+@pytest.mark.parametrize("until, left", [(("records", 4), 2), (("bytes", 40), 2), (("frontier", 11), 2), (("duration_ms", 0), 4)])
+def test_a_drain_ends_at_its_bound_and_the_next_goes_on(spark, tmp_path, until, left):
+    lake = Lake(spark, f"file://{tmp_path}/lake")
+
+    def drain(until):
+        settle = lambda rows, bad, epoch, watermark: lake.deliver("t", rows, f"e{epoch}", "append")
+        return Drain(Execution("drain", None, ("rows", 100), until, "admit_with_annotation", "t"), settle, EpochState(spark, f"file://{tmp_path}/state"), "p", "t")
+
+    stream = _stream(spark, tmp_path, [[("a", 8), ("a", 9)], [("a", 10), ("a", 11)], [("a", 12), ("a", 13)]])
+    first = drain(until)
+    first.run(stream, f"{tmp_path}/checkpoint")
+    assert lake.read("t").count() == 6 - left and first.log[-1][1] == "terminate"
+    drain(("quiescent", 0)).run(stream, f"{tmp_path}/checkpoint")
+    assert sorted(r["t"] for r in lake.read("t").collect()) == [8, 9, 10, 11, 12, 13]
+
+
+def test_watermarks_wait_and_do_not_go_back(spark, tmp_path):
+    schema = "p string, t bigint, w bigint"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+
+    def drain(name, **options):
+        execution = Execution("drain", None, ("batches", 1), ("quiescent", 0), "quarantine", "t")
+        return Drain(execution, lambda *_: None, EpochState(spark, f"file://{tmp_path}/{name}"), "p", "t", **options)
+
+    d = drain("waits", partitions=("a", "b"))
+    marks = []
+    for i, batch in enumerate([rows(("a", 5, 0)), rows(("a", 9, 0), ("b", None, 0)), rows(("b", 7, 0)), rows(("a", 2, 0), ("c", None, 0)), rows(("b", 20, 0)), rows(("c", 8, 0))]):
+        d.on_batch(batch, i)
+        marks.append(d.watermark)
+    assert marks == [None, None, 7, 7, 7, 8]
+    d = drain("idle", partitions=("a", "b"), idle=("b",))
+    d.on_batch(rows(("a", 5, 0)), 0)
+    assert d.watermark == 5
+    d = drain("claims", claim="w")
+    d.on_batch(rows(("a", 5, 4)), 0)
+    d.on_batch(rows(("a", 3, 4)), 1)
+    assert d.watermark == 4
+    with pytest.raises(PositionError, match="went back"):
+        d.on_batch(rows(("a", 9, 3)), 2)

@@ -25,7 +25,7 @@ from sluice.sinks.lake import Lake, applied_changes, commit_counts, merged_rows
 from sluice.sinks.package import Packages
 from sluice.sources.files import changed_files
 from sluice.sources.tables import apply_equality_deletes, apply_position_deletes
-from sluice.storage import Folder
+from sluice.storage import Folder, shared_folder
 from sluice.system import clean_streaks, drift, freshness, freshness_summary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,13 +49,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the storage that driver and executors share; a temporary one only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="sluice-")
-    return f"{base.rstrip('/')}/sluice-{uuid.uuid4().hex}"
+    """A new folder in the storage that driver and executors share."""
+    return f"{shared_folder(spark)}/sluice-{uuid.uuid4().hex}"
 
 
 # -- the flagship: a governed resource from SQL text to accepted rows --------------------------------

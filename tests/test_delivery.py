@@ -14,6 +14,7 @@ from sluice.operators import contract as C
 from sluice.plans.frontend import parse_resource
 from sluice.plans.resource import Delete, Execution
 from sluice.plans.run import Options, Registry, backfill_windows, preview, required_columns, run
+from sluice.sinks import lake as L
 from sluice.sinks.lake import Lake, Receipt
 from sluice.sinks.package import Packages
 from sluice.sources.tables import replay
@@ -54,7 +55,7 @@ def test_merge(spark, lake):
     assert lake.deliver("t", two, "b", "merge", ["k"]).counts == {"kind": "keyed", "rows_written": 2, "inserted": 1, "updated": 1}
     want = {k: f"v{k}" for k in range(20)} | {3: "new", 99: "x"}
     assert dict(rows(lake.read("t"), "k", "v")) == want
-    pointer = json.loads(lake.folder.read("targets/t/current.json"))
+    pointer = lake._pointer("t")
     untouched = [p for ps in pointer["paths"].values() for p in ps]
     assert len({p.split("/")[3] for p in untouched}) == 2  # buckets without changes stay where they were
     with pytest.raises(DeliveryError):
@@ -349,3 +350,61 @@ def test_watermarks_wait_and_do_not_go_back(spark, tmp_path):
     assert d.watermark == 4
     with pytest.raises(PositionError, match="went back"):
         d.on_batch(rows(("a", 9, 3)), 2)
+
+
+def test_of_two_writers_none_is_lost(spark, lake, monkeypatch):
+    one, two = spark.createDataFrame([(1,)], "k int"), spark.createDataFrame([(2,)], "k int")
+    other, write, raced = Lake(spark, lake.root), lake._write, []
+
+    def slow(df, path):
+        if not raced:
+            raced.append(other.deliver("t", two, "second", "append"))
+        return write(df, path)
+
+    monkeypatch.setattr(lake, "_write", slow)
+    lake.deliver("t", one, "first", "append")
+    assert rows(lake.read("t"), "k") == [(1,), (2,)] and {r.token for r in lake.receipts()} == {"first", "second"}
+    monkeypatch.setattr(lake, "_publish", lambda *_: False)
+    with pytest.raises(DeliveryError, match="first"):
+        lake.deliver("t", one, "third", "append")
+    assert rows(lake.read("t"), "k") == [(1,), (2,)]
+
+
+def test_buckets_grow_with_the_target(spark, lake, monkeypatch):
+    monkeypatch.setattr(L, "BUCKET_ROWS", 10)
+    load = lambda a, b, t: lake.deliver("t", spark.range(a, b).selectExpr("id AS k", f"'{t}' AS v"), t, "merge", ["k"])
+    load(0, 5, "a")
+    assert lake._pointer("t")["buckets"] == 1
+    assert load(3, 100, "b").counts == {"kind": "keyed", "rows_written": 97, "inserted": 95, "updated": 2}
+    assert (lake._pointer("t")["buckets"], lake._pointer("t")["rows"]) == (11, 100)
+    lake.deliver("t", spark.range(100, 103).selectExpr("id AS k", "'c' AS v"), "c", "append")
+    assert load(102, 104, "d").counts["updated"] == 1
+    assert rows(lake.read("t"), "k") == [(k,) for k in range(104)]
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 30])
+def test_wide_keys_are_not_broadcast(spark, lake, monkeypatch, bound):
+    monkeypatch.setattr(L, "BROADCAST_BYTES", bound)
+    lake.deliver("t", spark.createDataFrame([("x" * 500, 1), ("y", 2)], "k string, v int"), "a", "merge", ["k"])
+    lake.deliver("t", spark.createDataFrame([("x" * 500, 3), ("z", 4)], "k string, v int"), "b", "merge", ["k"])
+    assert sorted(r["v"] for r in lake.read("t").collect()) == [2, 3, 4]
+
+
+def test_outputs_of_a_route_appear_together(spark, lake, monkeypatch):
+    package = spark.createDataFrame([("string:a", 1), ("string:b", 2), ("string:a", 3)], "_route string, k int")
+    publish = lake._publish
+    monkeypatch.setattr(lake, "_publish", lambda *_: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        lake.deliver_routed("out", package, "t1", "merge", 3, ["k"])
+    assert lake.read("out/string=a") is None and lake.read("out/string=b") is None
+    monkeypatch.setattr(lake, "_publish", publish)
+    monkeypatch.setattr(lake, "_acknowledge", lambda r: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError):
+        lake.deliver_routed("out", package, "t1", "merge", 3, ["k"])
+    assert rows(lake.read("out/string=a"), "k") == [(1,), (3,)] and lake.receipts() == []
+    monkeypatch.undo()
+    first = lake.deliver_routed("out", package, "t1", "merge", 3, ["k"])
+    assert [r.target for r in first] == ["out/string=a", "out/string=b"] == [r.target for r in lake.receipts()]
+    lake.deliver_routed("out", spark.createDataFrame([("string:b", 2), ("string:c", 9)], "_route string, k int"), "t2", "append", 3)
+    assert [lake.read(f"out/string={x}").count() for x in "abc"] == [2, 2, 1]
+    assert lake.deliver_routed("out", package, "t1", "merge", 3, ["k"]) == first

@@ -1,14 +1,12 @@
 """All queries of the engine over the given tables, and the SQL they are held against.
 
-Every query reads its whole tables.  Names that start with ``ext_`` are plain relational SQL, which the resource
+Every query reads its whole tables.  Language, rules and state, sources and targets have modules of their own beside
+this one.  Names that start with ``ext_`` are plain relational SQL, which the resource
 language refuses and a Spark user has anyway.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,40 +17,17 @@ from sluice.operators import contract as C
 from sluice.operators import late, residual, routing, schema, segments, statistics, transforms
 from sluice.operators.dedup import dedup_summary, distinct_rows, keep_one, reduce_changes, split_changes
 from sluice.plans.frontend import parse_resource
+from sluice.plans.registration import ORACLE_SQL, QUERIES, query, scratch
+from sluice.plans.registration import table as _table
 from sluice.plans.resource import Delete
 from sluice.plans.run import Options, Registry, parquet_source, plan, run
 from sluice.sinks.lake import Lake, applied_changes, commit_counts, merged_rows
 from sluice.sinks.package import Packages
 from sluice.sources.files import changed_files
 from sluice.sources.tables import apply_equality_deletes, apply_position_deletes
-from sluice.storage import Folder, shared_folder
+from sluice.storage import Folder
 from sluice.system import clean_streaks, drift, freshness, freshness_summary
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL for the same rows."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE_SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder in the storage that driver and executors share."""
-    return f"{shared_folder(spark)}/sluice-{uuid.uuid4().hex}"
-
-
 # -- the flagship: a governed resource from SQL text to accepted rows --------------------------------
 
 FLAGSHIP = """
@@ -645,3 +620,7 @@ def ext_tumbling_window(spark, sf_dir):
     return grouped.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "events", "most")
 
 
+# the other modules register theirs
+from sluice.plans import catalog_language, catalog_rules, catalog_sources  # noqa: E402, F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -55,11 +55,14 @@ class Folder:
             stream.close()
 
     def write(self, name: str, text: str, overwrite: bool = False) -> None:
-        """Publish a whole text under a name: a temporary object is renamed, so readers see all or nothing."""
+        self.write_bytes(name, text.encode(), overwrite)
+
+    def write_bytes(self, name: str, data: bytes, overwrite: bool = False) -> None:
+        """Publish a whole object under a name: a temporary one is renamed, so readers see all or nothing."""
         part = self._at(f"{name.rpartition('/')[0]}/.{uuid.uuid4().hex}".lstrip("/"))
         stream = self._fs.create(part, True)
         try:
-            stream.write(bytearray(text.encode()))
+            stream.write(bytearray(data))
         finally:
             stream.close()
         final = self._at(name)

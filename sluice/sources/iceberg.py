@@ -2,7 +2,8 @@
 
 The table's JSON metadata names a manifest list, that names manifests, and these name data and delete files; the
 Avro files are decoded in tasks, and only the list of files comes to the driver, as with any file scan.  Deletes
-are anti-joins by position or by equality, later sequences over earlier data.  Columns are found by name.
+are anti-joins by position or by equality, later sequences over earlier data.  Columns are found by their field ids, so
+renamed ones keep their values; tables whose files have none, which their name mapping tells, are read by name.
 """
 
 from __future__ import annotations
@@ -26,7 +27,14 @@ BROADCAST_FILES = 200_000
 _KINDS = {"boolean": T.BooleanType(), "int": T.IntegerType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(), "date": T.DateType(), "timestamp": T.TimestampNTZType(), "timestamptz": T.TimestampType(), "string": T.StringType(), "uuid": T.StringType(), "binary": T.BinaryType()}
 
 
-def spark_type(kind) -> T.DataType:
+_ID = "parquet.field.id"
+
+
+def _field(f: dict, by_id: bool) -> T.StructField:
+    return T.StructField(f["name"], spark_type(f["type"], by_id), not f.get("required", False), {_ID: f["id"]} if by_id else None)
+
+
+def spark_type(kind, by_id: bool = False) -> T.DataType:
     if isinstance(kind, str):
         if kind in _KINDS:
             return _KINDS[kind]
@@ -36,10 +44,10 @@ def spark_type(kind) -> T.DataType:
             return T.BinaryType()
         raise ContractError(f"unknown type {kind}")
     if kind["type"] == "struct":
-        return T.StructType([T.StructField(f["name"], spark_type(f["type"]), not f.get("required", False)) for f in kind["fields"]])
+        return T.StructType([_field(f, by_id) for f in kind["fields"]])
     if kind["type"] == "list":
-        return T.ArrayType(spark_type(kind["element"]))
-    return T.MapType(spark_type(kind["key"]), spark_type(kind["value"]))
+        return T.ArrayType(spark_type(kind["element"], by_id))
+    return T.MapType(spark_type(kind["key"], by_id), spark_type(kind["value"], by_id))
 
 
 @dataclass
@@ -78,7 +86,13 @@ class Table:
         return self.metadata["schema"]["fields"]
 
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(f["name"], spark_type(f["type"])) for f in self.fields()])
+        return T.StructType([_field(f | {"required": False}, False) for f in self.fields()])
+
+    def stored(self) -> T.StructType:
+        """What files are asked for: each column by its id, under a name that no file has; or by its name."""
+        if "schema.name-mapping.default" in self.metadata.get("properties", {}):
+            return self.schema()
+        return T.StructType([_field(f | {"required": False, "name": f"__field_{f['id']}"}, True) for f in self.fields()])
 
 
 def _plain_path(path):
@@ -127,28 +141,30 @@ def read_iceberg(spark: SparkSession, location: str, *, after: int | None = None
     With ``after`` only what appends added since that snapshot; anything but appends in between is an error.
     """
     table = Table.open(spark, location)
-    known = {s["snapshot_id"]: s for s in table.snapshots()}
+    snapshots = {s["snapshot_id"]: s for s in table.snapshots()}
     chosen = table.select(**selector)
-    entries = _entries(spark, table, known[chosen])
+    entries = _entries(spark, table, snapshots[chosen])
     if after is not None:
         wanted = set(appended_snapshots(table.snapshots(), after, chosen))
         entries = [e for e in entries if e[1] == 0 and e[4] in wanted]
     if bad := {e[2] for e in entries if e[2].lower() != "parquet"}:
         raise ContractError(f"files of format {sorted(bad)} are not read")
-    schema = table.schema()
+    schema = table.stored()
+    spark.conf.set("spark.sql.parquet.fieldId.read.enabled", "true")  # for schemas with field ids alone
+    names = [F.col(f"`{f.name}`").alias(known.name, metadata={}) for f, known in zip(schema, table.schema())]
     data = [e for e in entries if e[1] == 0]
     if not data:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema).select(*names)
     rows = spark.read.schema(schema).parquet(*[e[0] for e in data])
     deletes = [e for e in entries if e[1] != 0]
     if not deletes:
-        return rows
+        return rows.select(*names)
     sequences = spark.createDataFrame([(e[0], e[3]) for e in data], "__path string, _sequence bigint").withColumn("__path", _plain_path(F.col("__path")))
     if len(data) <= BROADCAST_FILES:
         sequences = F.broadcast(sequences)
     rows = rows.select("*", _plain_path(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_pos"))
     rows = rows.join(sequences, F.col("_file") == F.col("__path")).drop("__path")
-    by_id = {f["id"]: f["name"] for f in table.fields()}
+    by_id = {f["id"]: stored.name for f, stored in zip(table.fields(), schema)}
 
     def read_deletes(group: list, columns: str | T.StructType) -> DataFrame:
         found = None
@@ -164,4 +180,4 @@ def read_iceberg(spark: SparkSession, location: str, *, after: int | None = None
         keys = [by_id[i] for i in ids]
         gone = read_deletes([e for e in deletes if e[1] == 2 and e[5] == ids], T.StructType([schema[k] for k in keys]))
         rows = apply_equality_deletes(rows, gone, keys)
-    return rows.select(*schema.names)
+    return rows.select(*names)

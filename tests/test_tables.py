@@ -50,11 +50,13 @@ _MANIFEST = {
 _LIST = {"type": "record", "name": "m", "fields": [{"name": "manifest_path", "type": "string"}, {"name": "sequence_number", "type": "long"}, {"name": "added_snapshot_id", "type": "long"}]}
 
 
-def _table(spark, root):
+def _table(spark, root, ids=True):
     """Four snapshots: rows 0-4, rows 5-9, position deletes of 1 and equality deletes of g = 1, rows 10-11."""
     (root / "metadata").mkdir()
+    known = {"id": 1, "g": 2} if ids else {}
 
     def parquet(df, name):
+        df = df.select(*[F.col(c).alias(c, metadata={"parquet.field.id": known[c]} if c in known else {}) for c in df.columns])
         df.coalesce(1).write.parquet(f"{root}/data/{name}")
         return "file://" + str(next((root / "data" / name).glob("*.parquet")))
 
@@ -73,13 +75,26 @@ def _table(spark, root):
         "format-version": 2, "current-snapshot-id": 104, "snapshots": snapshots, "refs": {"old": {"snapshot-id": 101, "type": "tag"}}, "current-schema-id": 0,
         "schemas": [{"schema-id": 0, "type": "struct", "fields": [{"id": 1, "name": "id", "type": "long", "required": True}, {"id": 2, "name": "g", "type": "int", "required": False}, {"id": 3, "name": "new", "type": "string", "required": False}]}],
     }
+    if not ids:
+        meta["properties"] = {"schema.name-mapping.default": "[]"}
     (root / "metadata/v1.metadata.json").write_text(json.dumps(meta | {"current-snapshot-id": 101}))
     (root / "metadata/v2.metadata.json").write_text(json.dumps(meta))
     return f"file://{root}"
 
 
-def test_iceberg(spark, tmp_path):
+def test_iceberg_columns_by_id(spark, tmp_path):
     at = _table(spark, tmp_path)
+    meta = json.loads((tmp_path / "metadata/v2.metadata.json").read_text())
+    # g is called kind now, and a new column has taken its name
+    fields = [{"id": 1, "name": "key", "type": "long"}, {"id": 2, "name": "kind", "type": "int"}, {"id": 4, "name": "g", "type": "string"}]
+    (tmp_path / "metadata/v3.metadata.json").write_text(json.dumps(meta | {"schemas": [{"schema-id": 0, "type": "struct", "fields": fields}]}))
+    found = sorted(map(tuple, read_iceberg(spark, at).collect()))
+    assert found == [(i, i % 3, None) for i in (0, 3, 4, 6, 7, 9, 10, 11)]
+
+
+@pytest.mark.parametrize("by_id", [True, False])
+def test_iceberg(spark, tmp_path, by_id):
+    at = _table(spark, tmp_path, by_id)
     ids = lambda **s: sorted(r["id"] for r in read_iceberg(spark, at, **s).collect())
     assert ids() == [0, 3, 4, 6, 7, 9, 10, 11]  # 1 by position; 2, 5 and 8 by equality; 11 came later
     assert ids(ref="old") == [0, 1, 2, 3, 4] and ids(as_of_ms=2500) == list(range(10)) and ids(snapshot_id=102, after=101) == [5, 6, 7, 8, 9]

@@ -119,6 +119,165 @@ def arrow_ipc_files(spark, sf_dir):
     return out[0].unionByName(out[1])
 
 
+# -- databases, services and table formats
+
+
+def _local(path: str) -> str:
+    """The path of a shared folder as a database file needs it."""
+    from sluice.errors import ContractError
+
+    plain = path.removeprefix("file://")
+    if "://" in plain:
+        raise ContractError(f"{path} holds no database files")
+    return plain
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN upper(n_name) ELSE n_name END AS n_name FROM nation UNION ALL SELECT n_nationkey + 100, upper(n_name) FROM nation WHERE n_nationkey % 2 = 0")
+def sqlite_table(spark, sf_dir):
+    """A SQLite file: loaded, merged into, and read back by ranges of its rows in tasks."""
+    from sluice.sinks.databases import Database
+
+    folder = Folder(spark, scratch(spark))
+    folder.write("here", "")
+    db = Database(f"{_local(folder.path)}/nations.db", "sqlite")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name")
+    even = nations.where("n_nationkey % 2 = 0").select("n_nationkey", F.upper("n_name").alias("n_name"))
+    db.deliver("nations", nations, "a", "merge", ["n_nationkey"])
+    for _ in range(2):  # the second time is the first one's receipt
+        db.deliver("nations", even.unionByName(even.withColumn("n_nationkey", F.col("n_nationkey") + 100)), "b", "merge", ["n_nationkey"])
+    return databases.read_sqlite(spark, db.path, "nations", partitions=4)
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, CASE WHEN n_nationkey % 3 = 1 THEN n_name || '!' ELSE n_name END AS n_name FROM nation WHERE n_nationkey % 3 <> 0")
+def duckdb_target(spark, sf_dir):
+    """A DuckDB file: a package, then changes with deletes, each in one transaction."""
+    from sluice.sinks.databases import Database
+
+    folder = Folder(spark, scratch(spark))
+    folder.write("here", "")
+    db = Database(f"{_local(folder.path)}/nations.duckdb", "duckdb")
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("n_nationkey"), "n_name")
+    db.deliver("nations", nations, "a", "append", staging=folder.path)
+    changes = nations.where("n_nationkey % 3 <> 2").select("n_nationkey", F.concat("n_name", F.lit("!")).alias("n_name"), F.when(F.col("n_nationkey") % 3 == 0, "delete").otherwise("update").alias("op"))
+    db.deliver("nations", changes, "b", "cdc_apply", ["n_nationkey"], Delete("hard"), staging=folder.path)
+    return spark.createDataFrame(db.query("SELECT n_nationkey, n_name FROM nations"), "n_nationkey bigint, n_name string")
+
+
+@query("SELECT k.kind, n.n_nationkey::BIGINT AS n_nationkey, n.n_name FROM nation n, (VALUES ('page'), ('offset'), ('cursor'), ('link')) k(kind)")
+def rest_pages(spark, sf_dir):
+    """Endpoints read in parallel, page by page, from a service that refuses every first request of a page."""
+    import http.server
+    import threading
+    import urllib.parse
+
+    from sluice.sources.rest import read_rest
+    from sluice.storage import cut
+
+    rows = [{"n_nationkey": k, "n_name": n} for k, n in sorted(_nations(spark, sf_dir))]
+    refused: set[str] = set()
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_GET(self) -> None:
+            if self.path not in refused:
+                refused.add(self.path)
+                self.send_response(503)
+                self.send_header("Retry-After", "0")
+                self.end_headers()
+                return
+            at = urllib.parse.urlsplit(self.path)
+            asked = dict(urllib.parse.parse_qsl(at.query))
+            start = (int(asked["page"]) - 1) * 10 if "page" in asked else int(asked.get("offset", asked.get("cursor", 0)))
+            more = start + 10 < len(rows)
+            body = {"data": {"items": rows[start : start + 10]}} | ({"next_cursor": str(start + 10)} if more else {})
+            self.send_response(200)
+            if more and at.path == "/link":
+                self.send_header("Link", f'</link?cursor={start + 10}>; rel="next"')
+            self.end_headers()
+            self.wfile.write(json.dumps(body).encode())
+
+        def log_message(self, *_) -> None:
+            pass
+
+    host = spark.sparkContext.getConf().get("spark.driver.host") or "127.0.0.1"
+    server = http.server.ThreadingHTTPServer(("0.0.0.0", 0), Service)  # noqa: S104
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        kinds = ("page", "offset", "cursor", "link")
+        endpoint = lambda k: {"url": f"http://{host}:{server.server_port}/{k}", "records": "data.items", "pagination": {"kind": k, "size": 10}, "allowed_hosts": [host]}
+        parts = [read_rest(spark, [endpoint(k)], "n_nationkey bigint, n_name string").select(F.lit(k).alias("kind"), "*") for k in kinds]
+        return cut(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]))
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def _avro(kind, value) -> bytes:
+    """A value in Avro's binary form."""
+    if isinstance(kind, list):
+        at = kind.index("null") if value is None else next(i for i, k in enumerate(kind) if k != "null")
+        return _zigzag(at) + (b"" if value is None else _avro(kind[at], value))
+    name = kind["type"] if isinstance(kind, dict) else kind
+    if name in ("int", "long"):
+        return _zigzag(value)
+    if name == "string":
+        return _zigzag(len(value.encode())) + value.encode()
+    if name == "array":
+        return (_zigzag(len(value)) + b"".join(_avro(kind["items"], v) for v in value) if value else b"") + _zigzag(0)
+    return b"".join(_avro(f["type"], value[f["name"]]) for f in kind["fields"])
+
+
+def _container(kind: dict, rows: list[dict]) -> bytes:
+    body = b"".join(_avro(kind, r) for r in rows)
+    head = b"Obj\x01" + _zigzag(1) + _avro("string", "avro.schema") + _avro("string", json.dumps(kind)) + _zigzag(0) + b"0" * 16
+    return head + _zigzag(len(rows)) + _zigzag(len(body)) + body + b"0" * 16
+
+
+def _record(name: str, **fields) -> dict:
+    return {"type": "record", "name": name, "fields": [{"name": k, "type": v} for k, v in fields.items()]}
+
+
+_MANIFEST = _record(
+    "entry", status="int", snapshot_id=["null", "long"], sequence_number=["null", "long"],
+    data_file=_record("file", content="int", file_path="string", file_format="string", equality_ids=["null", {"type": "array", "items": "int"}]),
+)
+_LISTED = _record("manifest", manifest_path="string", sequence_number="long", added_snapshot_id="long")
+
+
+@query(
+    """SELECT s.selector, o_orderkey, o_totalprice AS price FROM orders, (VALUES ('current'), ('tag'), ('appended')) s(selector)
+    WHERE CASE s.selector WHEN 'current' THEN o_orderkey % 5 <> 0 WHEN 'tag' THEN o_orderstatus = 'F' ELSE o_orderstatus <> 'F' END"""
+)
+def iceberg_snapshots(spark, sf_dir):
+    """A table of two appends and a delete by key, read by its own metadata: as it is, by tag, and what the second append added; one column was renamed since."""
+    from sluice.sources.iceberg import read_iceberg
+
+    folder = Folder(spark, scratch(spark))
+    ids = {"o_orderkey": 1, "o_totalprice": 2}
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+    def write(df: DataFrame, name: str) -> list[str]:
+        df.select(*[F.col(c).alias(c, metadata={"parquet.field.id": ids[c]}) for c in df.columns]).write.parquet(f"{folder.path}/data/{name}")
+        return [p for p, *_ in folder.glob(f"data/{name}/*.parquet")]
+
+    first = write(orders.where("o_orderstatus = 'F'").drop("o_orderstatus"), "first")
+    second = write(orders.where("o_orderstatus <> 'F'").drop("o_orderstatus"), "second")
+    gone = write(orders.where("o_orderkey % 5 = 0").select("o_orderkey"), "gone")
+    listed, snapshots = [], []
+    for i, (content, paths) in enumerate(((0, first), (0, second), (2, gone)), 1):
+        entries = [{"status": 1, "snapshot_id": None, "sequence_number": None, "data_file": {"content": content, "file_path": p, "file_format": "PARQUET", "equality_ids": [1] if content else None}} for p in paths]
+        folder.write_bytes(f"metadata/m{i}.avro", _container(_MANIFEST, entries))
+        listed.append({"manifest_path": f"{folder.path}/metadata/m{i}.avro", "sequence_number": i, "added_snapshot_id": i})
+        folder.write_bytes(f"metadata/snap{i}.avro", _container(_LISTED, listed))
+        snapshots.append({"snapshot-id": i, "parent-snapshot-id": i - 1 or None, "timestamp-ms": i, "manifest-list": f"{folder.path}/metadata/snap{i}.avro", "summary": {"operation": "delete" if content else "append"}})
+    kinds = {"o_orderkey": "long", "o_totalprice": "double"}
+    shape = {"schema-id": 0, "type": "struct", "fields": [{"id": ids[c], "name": "price" if c == "o_totalprice" else c, "type": t} for c, t in kinds.items()]}
+    meta = {"format-version": 2, "current-snapshot-id": 3, "snapshots": snapshots, "refs": {"first": {"snapshot-id": 1, "type": "tag"}}, "current-schema-id": 0, "schemas": [shape]}
+    folder.write("metadata/v1.metadata.json", json.dumps(meta))
+    parts = {"current": read_iceberg(spark, folder.path), "tag": read_iceberg(spark, folder.path, ref="first"), "appended": read_iceberg(spark, folder.path, after=1, snapshot_id=2)}
+    named = [df.select(F.lit(k).alias("selector"), "*") for k, df in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 def _zigzag(n: int) -> bytes:
     n, out = n << 1 ^ n >> 63, bytearray()
     while n > 127:
@@ -129,13 +288,9 @@ def _zigzag(n: int) -> bytes:
 
 @query(_NATIONS)
 def avro_files(spark, sf_dir):
-    rows = _nations(spark, sf_dir)
-    text = lambda s: _zigzag(len(s.encode())) + s.encode()
-    shape = json.dumps({"type": "record", "name": "n", "fields": [{"name": "n_nationkey", "type": "int"}, {"name": "n_name", "type": ["null", "string"]}]})
-    body = b"".join(_zigzag(k) + _zigzag(1) + text(n) for k, n in rows)
-    head = b"Obj\x01" + _zigzag(1) + text("avro.schema") + text(shape) + _zigzag(0) + b"0" * 16
+    shape = _record("nation", n_nationkey="int", n_name=["null", "string"])
     folder = Folder(spark, scratch(spark))
-    folder.write_bytes("nations.avro", head + _zigzag(len(rows)) + _zigzag(len(body)) + body + b"0" * 16)
+    folder.write_bytes("nations.avro", _container(shape, [{"n_nationkey": k, "n_name": n} for k, n in _nations(spark, sf_dir)]))
     return files.read_avro(spark, [f"{folder.path}/nations.avro"], _NATION_SCHEMA)
 
 

@@ -248,9 +248,17 @@ def implied_rules(schema: T.StructType, rules: Sequence[Rule] = ()) -> tuple[Rul
     return (*(Nullability(f"{f.name}_not_null", f.name) for f in schema if not f.nullable and f.name not in named), *rules)
 
 
-def sampled(df: DataFrame, keys: Sequence[str], one_in: int) -> DataFrame:
-    """The rows that sampled validation looks at: chosen by a hash of ``keys``, so the same ones each run."""
-    return df.where(F.pmod(F.xxhash64(*keys), F.lit(one_in)) == 0)
+#: One row in so many is looked at on the fast path of sampled validation.
+SAMPLE_ONE_IN = 100
+
+
+def in_sample(keys: Sequence[str], one_in: int = SAMPLE_ONE_IN) -> Column:
+    """Whether sampled validation looks at a row: told by a hash of ``keys``, so the same ones each run."""
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(one_in)) == 0
+
+
+def sampled(df: DataFrame, keys: Sequence[str], one_in: int = SAMPLE_ONE_IN) -> DataFrame:
+    return df.where(in_sample(keys, one_in))
 
 
 _VIOLATION = "array<struct<rule_id:string,error_code:string,column:string,value:string>>"
@@ -336,13 +344,17 @@ class Validated:
         return self
 
 
-def validate(df: DataFrame, contract: Contract, ordinal: Sequence[str] = ()) -> Validated:
+def validate(df: DataFrame, contract: Contract, ordinal: Sequence[str] = (), sample: Column | None = None) -> Validated:
     """Split ``df`` by ``contract``; ``ordinal`` columns identify rows in the evidence.
 
+    With ``sample`` only rows of the sample are looked at and the others pass: the fast path of sampled validation.
+
     Accepted rows pass plain predicates, which stay in generated code and reach the scan; evidence is built for
     the broken rows alone.
     """
     predicates = _predicates(df, contract)
+    if sample is not None:
+        predicates = [sample & p for p in predicates]
     accepted = df
     for p in predicates:
         accepted = accepted.where(~p)

@@ -8,7 +8,7 @@ validation, and quarantined rows never win a key.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +18,12 @@ from sluice.errors import ContractError, DeliveryError, PositionError, SchemaErr
 from sluice.functions.expressions import Lowering, project
 from sluice.functions.sqltext import columns_of, parse_scalar
 from sluice.ledger import Checkpoint, Ledger
-from sluice.operators.contract import TRUST, Contract, Validated, implied_rules, validate
+from sluice.operators.contract import TRUST, Contract, Validated, implied_rules, in_sample, validate, validation_depth
 from sluice.operators.dedup import distinct_rows, keep_one, refuse_repeats
 from sluice.operators.late import LateSplit, split_late
 from sluice.operators.residual import VARIANT_COLUMN, capture
 from sluice.operators.routing import with_route
-from sluice.operators.schema import NamePolicy, check_destination, conform, normalize_columns, reconcile
+from sluice.operators.schema import NamePolicy, check_destination, conform, fingerprint, normalize_columns, reconcile
 from sluice.operators.segments import limit_in_order
 from sluice.operators.transforms import apply_transforms
 from sluice.plans.frontend import parse_resource
@@ -95,6 +95,7 @@ class Options:
     window: tuple | None = None  # [from, to) of the cursor, for backfills
     carried: DataFrame | None = None
     statistics: bool = False
+    depth: str = "full"  # sampled_fast_path: one row in SAMPLE_ONE_IN is validated
 
 
 def select_upstream(df: DataFrame, resource: Resource) -> DataFrame:
@@ -137,7 +138,9 @@ def plan(spark: SparkSession, resource: Resource, registry: Registry, options: O
         df = limit_in_order(df, options.order_by or df.columns, options.limit)
     rules = implied_rules(T.StructType([f for f in options.schema or () if f.name in df.columns]), options.contract.rules)
     contract = Contract(rules, options.contract.dedup, TRUST[resource.trust], options.contract.redact)
-    checked = validate(df, contract, options.order_by)
+    scalars = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    sample = in_sample(options.order_by or scalars) if options.depth == "sampled_fast_path" else None
+    checked = validate(df, contract, options.order_by, sample)
     out = checked.accepted
     if options.select:
         out = out.select(*options.select)
@@ -183,6 +186,12 @@ def run(
             options = Options(**{**options.__dict__, "after": position.number() if position.kind == "int" else position.value})
     package_id = package_id or f"{resource.resource_id}-{(head.sequence if head else 0) + 1:06d}"
     planned = plan(spark, resource, registry, options)
+    # the fast path is earned by clean runs, and lost when the schema drifts or a row is quarantined
+    drift = head is not None and head.schema_hash != fingerprint(planned.accepted.schema)
+    depth = validation_depth(TRUST[resource.trust], ledger.clean_runs(resource.resource_id, scope), drift=drift)
+    if depth != options.depth:
+        options = replace(options, depth=depth)
+        planned = plan(spark, resource, registry, options)
     planned.validated.enforce()
     check_destination(planned.accepted.schema, DESTINATIONS["parquet"], allow_lossy=True)
     package = packages.build(package_id, planned.accepted, planned.validated.quarantine, options.order_by if options.statistics else (), statistics=options.statistics, lineage=[{"from": resource.source, "to": resource.target or resource.resource_id, "relation": "loads"}])

@@ -69,6 +69,14 @@ def read_partitioned(spark: SparkSession, root: str, fmt: str = "parquet", where
     return df.where(where) if where else df
 
 
+def read_catalog_table(spark: SparkSession, name: str, where: str | None = None) -> DataFrame:
+    """A table of the session's catalog by name, location and format from there; partition predicates prune as above."""
+    if not spark.catalog.tableExists(name):
+        raise ContractError(f"no table {name} in the catalog")
+    df = spark.read.table(name)
+    return df.where(where) if where else df
+
+
 def flatten_change_stream(events: DataFrame, document_schema: str, key: str = "_id") -> DataFrame:
     """Change events (JSON texts in ``event``) as rows: op, resume_token, the document's columns.
 

@@ -408,3 +408,22 @@ def test_outputs_of_a_route_appear_together(spark, lake, monkeypatch):
     lake.deliver_routed("out", spark.createDataFrame([("string:b", 2), ("string:c", 9)], "_route string, k int"), "t2", "append", 3)
     assert [lake.read(f"out/string={x}").count() for x in "abc"] == [2, 2, 1]
     assert lake.deliver_routed("out", package, "t1", "merge", 3, ["k"]) == first
+
+
+def test_clean_runs_earn_the_fast_path_and_a_bad_row_loses_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C.in_sample, "__defaults__", (4,))
+    good = [(i, "a") for i in range(200)]
+    registry, lake, packages, ledger = _world(spark, tmp_path, good)
+    sql = "RESOURCE TARGET out DISPOSITION REPLACE TRUST SERVING AS SELECT id, v FROM upstream(source => 'mem')"
+    options = Options(C.Contract((C.Domain("known", "v", ("a",)),)))
+    go = lambda: run(spark, sql, registry, lake, packages, ledger, options).quarantined
+    assert [go(), go(), go()] == [0, 0, 0]
+    registry.register("mem", lambda s: s.createDataFrame([(i, "bad") for i in range(200)], "id bigint, v string"))
+    found = go()  # the fourth run looks at a part of the rows
+    assert 20 < found < 90 and lake.read("out").count() == 200 - found
+    assert go() == 200  # and the next at all of them again
+    registry.register("mem", lambda s: s.createDataFrame(good, "id bigint, v string"))
+    assert [go(), go(), go()] == [0, 0, 0]
+    # enough clean runs again, but the schema has drifted
+    registry.register("mem", lambda s: s.createDataFrame([(i, "bad") for i in range(200)], "id int, v string"))
+    assert go() == 200

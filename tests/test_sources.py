@@ -9,6 +9,7 @@ import struct
 import sys
 import zlib
 
+import duckdb
 import pyarrow as pa
 import pytest
 import zstandard
@@ -266,6 +267,32 @@ def test_table_formats(spark, tmp_path):
         tables.flatten_change_stream(spark.createDataFrame([('{"operationType":"invalidate"}',)], "event string"), "v string").collect()
 
 
+def test_catalog_tables(spark, tmp_path):
+    spark.range(10).withColumn("p", F.col("id") % 2).write.partitionBy("p").parquet(f"{tmp_path}/t")
+    spark.sql(f"CREATE TABLE sluice_listed (id BIGINT, p BIGINT) USING parquet PARTITIONED BY (p) LOCATION 'file://{tmp_path}/t'")
+    try:
+        spark.sql("MSCK REPAIR TABLE sluice_listed")
+        found = tables.read_catalog_table(spark, "sluice_listed", "p = 1")
+        assert sorted(r["id"] for r in found.collect()) == [1, 3, 5, 7, 9] and "PartitionFilters: [isnotnull(p" in found._jdf.queryExecution().executedPlan().toString()
+        with pytest.raises(ContractError):
+            tables.read_catalog_table(spark, "not_listed")
+    finally:
+        spark.sql("DROP TABLE sluice_listed")
+
+
+@pytest.mark.parametrize("dialect", ["postgres", "mysql", "sqlite", "clickhouse"])
+def test_queries_run_where_the_dialect_is_spoken(dialect):
+    """What a server would be asked, put to engines that take the same quotes."""
+    rows = [(i, i % 7 / 2, "F" if i % 3 else "O'x") for i in range(50)]
+    scan = databases.Scan("orders", ("k", "v"), ("v >= 1", "s = 'O''x'", "k != 9"), ("k",), None, "k", 11)
+    sql, again = databases.build_query(scan, dialect)
+    db = duckdb.connect() if dialect == "postgres" else sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE orders (k INTEGER, v DOUBLE, s VARCHAR)")
+    db.executemany("INSERT INTO orders VALUES (?, ?, ?)", rows)
+    want = [(k, v) for k, v, s in rows if v >= 1 and s == "O'x" and k > 11]
+    assert db.execute(sql).fetchall() == want and "k != 9" in again
+
+
 def test_pushdown_reaches_the_scan(spark, tmp_path):
     spark.range(100).select("id", (F.col("id") * 2).alias("v"), F.lit("x").alias("unused")).write.parquet(f"{tmp_path}/t.parquet")
     from sluice.plans.frontend import parse_resource

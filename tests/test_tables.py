@@ -205,3 +205,27 @@ def test_command_line(spark, tmp_path, capsys):
     assert said("sql", "SELECT count(*) AS n FROM packages")[0]["n"] == 1 and said("status")["summary"]["fresh"] == 1 and said("doctor") == [{"target": "one", "state": "match"}]
     assert said("package", first["package"], "verify")["row_count"] == 8 and len(said("state", "one")) == 1 and said("schema", "one")["fields"][0]["name"] == "id"
     assert [w["rows"] for w in said("backfill", "one", "2", "12", "5")] == [4, 4] and said("discover", "mem", "t")["fields"][1]["name"] == "v"
+
+
+@pytest.mark.parametrize("disposition, keys, delete, want", [
+    ("append", (), Delete(), [(1, "a"), (2, "b"), (2, "B"), (3, "C")]),
+    ("replace", (), Delete(), [(2, "B"), (3, "C")]),
+    ("merge", ("k",), Delete(), [(1, "a"), (2, "B"), (3, "C")]),
+    ("cdc_apply", ("k",), Delete("ignore"), [(1, "a"), (2, "b"), (3, "C")]),
+    ("cdc_apply", ("k",), Delete("hard"), [(1, "a"), (3, "C")]),
+])
+def test_postgres_statements_run(disposition, keys, delete, want):
+    """The statements for a server, run by an engine that takes them as they are."""
+    import duckdb
+
+    shape = T.StructType.fromDDL("k int, v string")
+    db = duckdb.connect()
+    db.execute(create_statement("t", shape, "postgres", keys))
+    db.execute("INSERT INTO t VALUES (1, 'a'), (2, 'b')")
+    changes = disposition == "cdc_apply"
+    db.execute("CREATE TABLE stage AS SELECT * FROM (VALUES (2, 'B', 'delete'), (3, 'C', 'insert')) v(k, v, op)")
+    if not changes:
+        db.execute("ALTER TABLE stage DROP COLUMN op")
+    for sql in apply_statements("t", "stage", ["k", "v", "op"] if changes else ["k", "v"], disposition, "postgres", keys, delete, "op"):
+        db.execute(sql)
+    assert sorted(db.execute("SELECT k, v FROM t").fetchall()) == sorted(want)

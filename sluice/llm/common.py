@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of two 64-bit numbers up to which a table is broadcast (some 64 bytes each, 32 MB in all).
 BROADCAST_ROWS = 500_000
 
+#: Rows whose texts one worker turns into Python objects at once.
+SLICE_ROWS = 512
+
 _LOCAL = re.compile(r"local(\[[^\]]*\])?$")
 
 
@@ -68,16 +71,22 @@ def map_batches(
     fn: Callable[[pa.RecordBatch], pa.RecordBatch],
     schema: str,
 ) -> DataFrame:
-    """``mapInArrow`` with a function of one batch that returns one batch."""
+    """``mapInArrow`` with a function of a few rows that returns as a batch what comes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+        for part in slices(batches):
+            yield fn(part)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that few texts at once are Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def row_key(*columns: str):
     """A 64-bit key of a row's columns that is never null."""
     return F.xxhash64(*[F.col(c) for c in columns])

@@ -21,6 +21,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from sluice.llm.common import slices
 from sluice.llm.encoding import UNSURE
 
 BLOCK = 64
@@ -266,7 +267,7 @@ def edited_counts(docs: DataFrame, edits=sample_edits, ranks: str | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = PieceCounter.of(path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tree = TokenTree(text or "", counter)

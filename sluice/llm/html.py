@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, if_small
+from sluice.llm.common import cut, if_small, slices
 
 #: Least length of a repeated passage that counts as boilerplate.
 MIN_TOKENS = 12
@@ -294,7 +294,7 @@ def extract(pages: DataFrame) -> DataFrame:
     settled_names, names = ["page_id", "url", "text", "texts", "asks"], "page_id long, url string, text string, texts array<string>, asks array<boolean>"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [blocks(h) for h in batch.column(2).to_pylist()]
             asked = [any(ask for _, ask in b) for b in found]
             texts = pa.array([None if a else " ".join(t for t, _ in b) for a, b in zip(asked, found)], pa.string())

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm.common import slices
+
 SIZE = 1 << 15
 #: Bound of the labelled rows that the weights are fitted on: languages share ``SAMPLE_ROWS`` evenly, but have ``LANGUAGE_ROWS`` each
 #: if there are many.  As rows are drawn by chance, up to twice as many may come.
@@ -189,7 +191,7 @@ def learn_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(SIZE, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 seen += ngram_counts(text) > 0
                 n += 1
@@ -217,7 +219,7 @@ def learn_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     drawn = drawn.groupBy("draw", "lang").agg(F.first("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for i in range(batch.num_rows):
                 seed, lang, text = (c[i].as_py() for c in batch.columns)
                 found = [gram_counts(p) for p in pieces(text, seed)]
@@ -240,7 +242,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column(2).to_pylist()]
             langs, scores = pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], langs, scores], ["doc_id", "held_out", "lang_pred", "score"])
@@ -253,7 +255,7 @@ def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> Da
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [model.predict(t) for t in batch.column(at).to_pylist()]
             keep = pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_())
             yield pa.RecordBatch.from_arrays(batch.columns, names).filter(keep)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sluice.llm.common import cut, if_small
+from sluice.llm.common import cut, if_small, slices
 from sluice.llm.encoding import Encoder
 
 CAPACITY = 1024
@@ -45,7 +45,7 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder.of(path), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = encoder.ids(text or "") + tail

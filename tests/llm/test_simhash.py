@@ -1,7 +1,9 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 
+from sluice.llm import common as C
 from sluice.llm import simhash as S
 
 
@@ -138,7 +140,9 @@ def test_each_key_of_a_fingerprint_comes_once():
     assert 55 < len(keys) / 500 < 66
 
 
-def test_one_row_stays_of_rows_repeated_and_names_may_clash(spark):
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_one_row_stays_of_rows_repeated_and_names_may_clash(spark, monkeypatch, bound):
+    monkeypatch.setattr(C.if_small, "__defaults__", (bound,))
     rows = [(1, "same text here")] * 300 + [(2, "same text here"), (None, "same text here"), (7, None), (7, None), (None, "lonely words stand here"), (None, "lonely words stand here")]
     df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, key_doc_id int, key_text int, __id int").repartition(3)
     kept = S.keep_one_per_group(df)

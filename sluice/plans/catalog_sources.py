@@ -349,6 +349,22 @@ def file_resolution(spark, sf_dir):
     return decisions(spark, [*((n, "ok") for n in found), *bad], "name string, outcome string")
 
 
+_TEMPLATES = [
+    ("h/{08..10}.gz", "h/08.gz h/09.gz h/10.gz"), ("{2023-11..2024-02}", "2023-11 2023-12 2024-01 2024-02"), ("y{1..2}/m{3..4}", "y1/m3 y1/m4 y2/m3 y2/m4"), ("plain", "plain"),
+    ("{a..b}", "ContractError"), ("{5..1}", "ContractError"), ("{1..99999}", "ContractError"),
+]
+
+
+@query(values(_TEMPLATES, "template, places"))
+def template_expansion(spark, sf_dir):
+    """Places of a template, numbers as wide as written and months over the year's end; none and too many are refused."""
+    rows = []
+    for template, _ in _TEMPLATES:
+        failed = outcome(lambda t=template: files.expand_template(t))
+        rows.append((template, " ".join(files.expand_template(template)) if failed == "ok" else failed))
+    return decisions(spark, rows, "template string, places string")
+
+
 _SCAN = databases.Scan("shop.orders", ("o_orderkey", "o_totalprice"), ("o_totalprice >= 10", "o_orderstatus != 'F'"), ("o_orderkey",), None, "o_orderkey", 41)
 _SQL = "SELECT {q}o_orderkey{q}, {q}o_totalprice{q} FROM {q}shop{q}.{q}orders{q} WHERE {q}o_totalprice{q} >= 10 AND {q}o_orderkey{q} > 41 ORDER BY {q}o_orderkey{q}"
 

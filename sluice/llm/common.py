@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows of two 64-bit numbers up to which a table is broadcast (some 64 bytes each, 32 MB in all).
 BROADCAST_ROWS = 500_000
 
+#: Rows of a narrow table in one file of it, and the least number of files that are not put together.
+PART_ROWS = 1 << 20
+LEAST_PARTS = 8
 #: Rows whose texts one worker turns into Python objects at once.
 SLICE_ROWS = 512
 
@@ -24,9 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it from there.
 
+    ``rows``, a bound of its rows where one is known, keeps a narrow table in few files: one for each ``PART_ROWS``, but
+    ``LEAST_PARTS`` at least.
+
     The folder is ``spark.checkpoint.dir``; a temporary one is set only where a
     local session has none, as in tests.  A cluster without one is refused: its
     executors could not read what the driver's own folder holds.
@@ -37,6 +43,8 @@ def cut(df: DataFrame) -> DataFrame:
         if shared is None and not _LOCAL.match(context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="sluice-checkpoint-"))
+    if rows is not None:
+        df = df.coalesce(max(LEAST_PARTS, -(-rows // PART_ROWS)))
     return df.checkpoint(eager=True)
 
 

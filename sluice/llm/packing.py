@@ -215,12 +215,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     Only the histogram of lengths (at most ``capacity`` rows) comes to the driver.
     """
-    by_part = cut(pieces.groupBy("length", "part").count())
+    # a row for each length and partition at most
+    most = pieces.rdd.getNumPartitions() * capacity
+    by_part = cut(pieces.groupBy("length", "part").count(), most)
     counts = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     places = _places(plan_bins(counts, capacity))
     # a length has one row a partition here
     before = F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    first = cut(by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("first")))
+    first = cut(by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("first")), most)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
     ranked = pieces.join(if_small(first), ["length", "part"]).select(*names, (F.col("first") + F.col("within")).alias("rank"))
 

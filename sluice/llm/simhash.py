@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sluice.llm.common import cut, map_batches, without_keys
+from sluice.llm.common import PART_ROWS, cut, map_batches, without_keys
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -297,8 +297,8 @@ def _link_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect the distinct fingerprints of column ``fp`` as all links do."""
+def fingerprint_links(distinct: DataFrame, n: int | None = None) -> DataFrame:
+    """Edges (u, v) that connect the distinct fingerprints of column ``fp``, ``n`` of them, as all links do."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,9 +312,10 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         # buckets of one fingerprint go in the JVM; the window leaves the others sorted by key
         met = F.count(F.lit(1)).over(W.partitionBy("key"))
         dealt = rows.repartition(parts, "key").withColumn("met", met).where("met > 1").select("key", "free", "fp")
-        return cut(dealt.mapInArrow(_link_sorted, _SCHEMA))
+        # a part of 61 rows for each fingerprint is a task's share here
+        return cut(dealt.mapInArrow(_link_sorted, _SCHEMA), parts * PART_ROWS)
 
-    parts = max(1, -(-distinct.count() * 61 // TASK_ROWS))
+    parts = max(1, -(-(distinct.count() if n is None else n) * 61 // TASK_ROWS))
     rows = distinct.select("fp").repartition(parts).mapInArrow(keyed, "key long, free long, fp long")
     edges = None
     while True:
@@ -327,16 +328,17 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
         parts = max(1, -(-left // TASK_ROWS))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(vertex, root) for every vertex of ``edges`` (u, v); the root is its component's least vertex.
+def connected_components(edges: DataFrame, n: int | None = None) -> DataFrame:
+    """(vertex, root) for every vertex of ``edges`` (u, v), ``n`` at most; the root is its component's least vertex.
 
     Labels take the minimum over neighbours, then jump to their label's label, until
     nothing changes.  Hubs meet only in aggregates that are summed before the shuffle
     and in joins that the engine can split.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = cut(both)
-    labels = cut(both.groupBy(F.col("u").alias("vertex")).agg(F.least(F.min("v"), F.col("vertex")).alias("root")))
+    # links repeat in buckets, but are distinct here: some for each vertex
+    both = cut(both, None if n is None else 4 * n)
+    labels = cut(both.groupBy(F.col("u").alias("vertex")).agg(F.least(F.min("v"), F.col("vertex")).alias("root")), n)
     while True:
         offered = (
             both.join(labels.select(F.col("vertex").alias("v"), F.col("root").alias("offer")), "v")
@@ -348,23 +350,26 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         jump = labels.select(F.col("vertex").alias("root"), F.col("root").alias("up"))
         after = cut(
-            merged.join(jump, "root", "left").select("vertex", "before", F.least("root", F.coalesce("up", "root")).alias("root"))
+            merged.join(jump, "root", "left").select("vertex", "before", F.least("root", F.coalesce("up", "root")).alias("root")), n
         )
         labels = after.select("vertex", "root")
         if after.where("root <> before").isEmpty():
             return labels
 
 
-def _grouped(docs: DataFrame) -> DataFrame:
+def _grouped(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text_key, fp, root and component_id of every row, and how many there are."""
     prints = cut(with_fingerprints(docs))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(fingerprint_links(distinct))
+    rows = prints.count()
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), rows)
+    n = distinct.count()
+    roots = connected_components(fingerprint_links(distinct, n), n)
     placed = distinct.join(roots.withColumnRenamed("vertex", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = cut(placed.join(least, "root").select("fp", "root", "component_id"))
-    return prints.join(named, "fp")
+    named = cut(placed.join(least, "root").select("fp", "root", "component_id"), n)
+    return prints.join(named, "fp"), rows
 
 
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
@@ -376,7 +381,7 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     stay and do not count as smallest (null if a component has no other).  An empty table
     gives no rows; columns beside doc_id and text are not read.
     """
-    return _grouped(docs).select("doc_id", "fp", "component_id")
+    return _grouped(docs)[0].select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame) -> DataFrame:
@@ -385,12 +390,13 @@ def keep_one_per_group(docs: DataFrame) -> DataFrame:
     Of rows that repeat one doc_id and text any one stays.  All columns stay as they are, whatever
     their names.  Texts move only if the rows to drop are too many to broadcast their keys.
     """
-    rows = cut(_grouped(docs).groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")))
+    grouped, n = _grouped(docs)
+    rows = cut(grouped.groupBy("root", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), n)
     best = rows.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key", "n")).alias("b"))
-    best = cut(best.select("root", F.col("b.doc_id").alias("best_id"), F.col("b.text_key").alias("best_key"), F.col("b.n").alias("best_n")))
+    best = cut(best.select("root", F.col("b.doc_id").alias("best_id"), F.col("b.text_key").alias("best_key"), F.col("b.n").alias("best_n")), n)
     is_best = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_key") == F.col("best_key"))
-    kept = without_keys(docs, cut(rows.join(best, "root").where(~is_best).select("doc_id", "text_key")))
-    repeated = cut(best.where("best_n > 1").select(F.col("best_id").alias("doc_id"), F.col("best_key").alias("text_key")))
+    kept = without_keys(docs, cut(rows.join(best, "root").where(~is_best).select("doc_id", "text_key"), n))
+    repeated = cut(best.where("best_n > 1").select(F.col("best_id").alias("doc_id"), F.col("best_key").alias("text_key")), n)
     if repeated.isEmpty():
         return kept
     once = without_keys(kept, repeated, "left_semi").dropDuplicates(["doc_id", "text"])

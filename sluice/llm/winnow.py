@@ -99,8 +99,10 @@ def _benchmark_grams(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(full, _hash_at("wh", F.col("j"), WINDOW)).otherwise(by_size).alias("window"),
     )
     grouped = rows.groupBy("gram", "offset", "n", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    grouped = cut(grouped.withColumn("set_id", F.xxhash64("items")))
-    return grouped.drop("items"), cut(grouped.groupBy("set_id").agg(F.first("items").alias("items")))
+    # some 256 windows an item
+    most = 256 * benchmark.count()
+    grouped = cut(grouped.withColumn("set_id", F.xxhash64("items")), most)
+    return grouped.drop("items"), cut(grouped.groupBy("set_id").agg(F.first("items").alias("items")), most)
 
 
 def shared_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -199,4 +201,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_IT
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
     found = contamination(docs, benchmark, min_items).where("contaminated")
-    return without_keys(docs, cut(found.select("doc_id", "text_key").distinct()))
+    return without_keys(docs, cut(found.select("doc_id", "text_key").distinct(), docs.count()))

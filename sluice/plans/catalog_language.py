@@ -301,13 +301,13 @@ def unicode_functions(spark, sf_dir):
 
 
 @query(
-    """SELECT p_partkey, list_sort(words) AS sorted, list_contains(words, 'widget') AS has, list_position(words, 'widget')::BIGINT AS at, array_to_string(list_reverse(words), '-') AS back, words[1] AS first, len(list_distinct(list_concat(words, words)))::INT AS d,
-    words[1:2] AS two FROM (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part)"""
+    """SELECT p_partkey, array_to_string(list_sort(words), ',') AS sorted, list_contains(words, 'widget') AS has, list_position(words, 'widget')::BIGINT AS at, array_to_string(list_reverse(words), '-') AS back, words[1] AS first, len(list_distinct(list_concat(words, words)))::INT AS d,
+    array_to_string(words[1:2], ',') AS two FROM (SELECT p_partkey, string_split(p_name, ' ') AS words FROM part)"""
 )
 def nested_functions(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
     calls = {
-        "p_partkey": "p_partkey", "sorted": "array_sort(words)", "has": "array_has(words, 'widget')", "at": "array_position(words, 'widget')", "back": "array_to_string(array_reverse(words), '-')", "first": "array_element(words, 1)",
-        "d": "array_length(array_distinct(array_concat(words, words)))", "two": "array_slice(words, 1, 2)",
+        "p_partkey": "p_partkey", "sorted": "array_to_string(array_sort(words), ',')", "has": "array_has(words, 'widget')", "at": "array_position(words, 'widget')", "back": "array_to_string(array_reverse(words), '-')", "first": "array_element(words, 1)",
+        "d": "array_length(array_distinct(array_concat(words, words)))", "two": "array_to_string(array_slice(words, 1, 2), ',')",
     }
     return project(parts, list(calls.items())).withColumn("at", F.nullif("at", F.lit(0)))

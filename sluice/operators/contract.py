@@ -7,6 +7,7 @@ partitions, so validation is one pass without a shuffle; only keyed deduplicatio
 from __future__ import annotations
 
 import enum
+import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -314,9 +315,15 @@ class Validated:
 
     rows: DataFrame
     accepted: DataFrame
-    quarantine: DataFrame
     contract: Contract
     predicates: list[Column]
+    ordinal: Sequence[str] = ()
+
+    @functools.cached_property
+    def quarantine(self) -> DataFrame:
+        each = [F.when(p, e) for p, e in zip(self.predicates, _entries(self.contract))] or [F.lit(None).cast(_VIOLATION[6:-1])]
+        broken = self.rows.where(self.broken).select(*self.ordinal, F.explode(F.array(*each)).alias("v"))
+        return broken.where("v is not null").select(*self.ordinal, "v.*")
 
     @property
     def broken(self) -> Column:
@@ -355,10 +362,5 @@ def validate(df: DataFrame, contract: Contract, ordinal: Sequence[str] = (), sam
     predicates = _predicates(df, contract)
     if sample is not None:
         predicates = [sample & p for p in predicates]
-    accepted = df
-    for p in predicates:
-        accepted = accepted.where(~p)
-    broken = reduce(lambda a, b: a | b, predicates, F.lit(False))
-    each = [F.when(p, e) for p, e in zip(predicates, _entries(contract))] or [F.lit(None).cast(_VIOLATION[6:-1])]
-    evidence = df.where(broken).select(*ordinal, F.explode(F.array(*each)).alias("v")).where("v is not null").select(*ordinal, "v.*")
-    return Validated(df, accepted, evidence, contract, predicates)
+    accepted = df.where(reduce(lambda a, b: a & b, [~p for p in predicates])) if predicates else df
+    return Validated(df, accepted, contract, predicates, ordinal)

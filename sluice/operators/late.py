@@ -6,8 +6,6 @@ goes back.  Rows are late against the *committed* watermark, so a rerun decides
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +55,19 @@ def is_late(event_time: str, watermark) -> Column:
     return F.coalesce(F.col(event_time) < F.lit(watermark), F.lit(False))
 
 
-@dataclass
 class LateSplit:
-    admitted: DataFrame
-    quarantined: DataFrame
-    carried: DataFrame
+    """Rows by where they go; what nobody asks for is not even planned."""
+
+    def __init__(self, admitted: DataFrame, quarantined: DataFrame | None = None, carried: DataFrame | None = None) -> None:
+        self.admitted, self._quarantined, self._carried, self._none = admitted, quarantined, carried, admitted
+
+    @property
+    def quarantined(self) -> DataFrame:
+        return self._none.where(F.lit(False)) if self._quarantined is None else self._quarantined
+
+    @property
+    def carried(self) -> DataFrame:
+        return self._none.where(F.lit(False)) if self._carried is None else self._carried
 
 
 def split_late(df: DataFrame, event_time: str, watermark, action: str = "quarantine") -> LateSplit:

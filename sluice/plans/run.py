@@ -138,16 +138,16 @@ def plan(spark: SparkSession, resource: Resource, registry: Registry, options: O
         df = limit_in_order(df, options.order_by or df.columns, options.limit)
     rules = implied_rules(T.StructType([f for f in options.schema or () if f.name in df.columns]), options.contract.rules)
     contract = Contract(rules, options.contract.dedup, TRUST[resource.trust], options.contract.redact)
-    scalars = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    sample = in_sample(options.order_by or scalars) if options.depth == "sampled_fast_path" else None
+    sample = None
+    if options.depth == "sampled_fast_path":
+        sample = in_sample(options.order_by or [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))])
     checked = validate(df, contract, options.order_by, sample)
     out = checked.accepted
     if options.select:
         out = out.select(*options.select)
     if options.normalize is not None:
         out = normalize_columns(out, options.normalize)
-    none = out.where(F.lit(False))
-    late = split_late(out, options.event_time, options.watermark, resource.execution.late) if options.event_time and options.watermark is not None else LateSplit(out, none, none)
+    late = split_late(out, options.event_time, options.watermark, resource.execution.late) if options.event_time and options.watermark is not None else LateSplit(out)
     if options.carried is not None:
         # rows that an earlier epoch held back have passed their contract and are not late again
         late.admitted = late.admitted.unionByName(options.carried)

@@ -41,13 +41,14 @@ _BODY = re.compile(r"[A-Za-z0-9+/]+={0,2}")
 _LINE_ENDS = re.compile(r"\\+[nr]|[\r\n]+")
 _ESCAPED = re.compile(r"\\+t|\\+(?=/)|\s")
 #: 12 bytes or more; an n after a backslash is a line end.
-_RUN = re.compile(r"(?:(?<=\\)[nrt])?+([A-Za-z0-9+/_-]{16,}+={0,2})")
+_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?<=\\)[nrt])?+([A-Za-z0-9+/_-]{16,}+={0,2})")
 #: What a prefix may be glued to.
 _PART = re.compile(r"[A-Za-z0-9+/]{16,}+={0,2}")
 _BREAK = r"[ \t]*+(?:[\r\n]|\\++[nr])(?:\s|\\++[nrt])*+"
 _LINES = re.compile(rf"{_RUN.pattern}(?:{_BREAK}[A-Za-z0-9+/_-]++={{0,2}})++")
 _LINE = re.compile(rf"([A-Za-z0-9+/_-]++={{0,2}})(?:{_BREAK})?+")
 _OPENSSH = "b3BlbnNzaC1rZXktdjEA"
+_PLAIN = re.compile(rb"[\x09-\x7e]*+")
 _ANY_HEX = re.compile(r"(?:[0-9A-Fa-f]{2})++")
 
 
@@ -115,7 +116,7 @@ def _is_header(part: str) -> bool:
 
 
 def _is_text(data: bytes) -> bool:
-    return all(9 <= b < 127 for b in data)
+    return _PLAIN.fullmatch(data) is not None
 
 
 def _hides(data: bytes) -> str | None:

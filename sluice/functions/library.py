@@ -87,10 +87,13 @@ def _truncate(a: Column, n: Column | None) -> Column:
 
 
 def _gcd(a: Column, b: Column) -> Column:
-    """Euclid's steps over an array; 92 suffice for 64-bit numbers."""
-    start = F.struct(F.abs(a).cast("bigint").alias("x"), F.abs(b).cast("bigint").alias("y"))
+    """Euclid's steps over arrays; 92 suffice for 64-bit numbers, and the later ones are taken only where they are needed."""
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), F.try_mod(s["x"], s["y"]).alias("y")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["x"])
+    state = F.array(F.struct(F.abs(a).cast("bigint").alias("x"), F.abs(b).cast("bigint").alias("y")))
+    for n in (6, 18, 68):
+        counts = F.sequence(F.lit(1), F.lit(n))
+        state = F.transform(state, lambda s: F.when(s["y"] == 0, s).otherwise(F.aggregate(counts, s, step)))  # noqa: B023
+    return state[0]["x"]
 
 
 _add("string", "lower/1 upper/1 btrim/1-2 ltrim/1 rtrim/1 trim/1 replace/3 repeat/2 concat/1-255 split_part/3 lpad/2-3 rpad/2-3 translate/3 ascii/1 overlay/3-4 levenshtein/2 contains/2 "

@@ -1,5 +1,8 @@
 """The resource language and scalar expressions: what they admit, mean and refuse."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +112,14 @@ def test_filter_lints():
     assert filter_lints(["a = 5 AND a < 5"]) == ["no value of a passes"] and filter_lints(["a > 1 OR a < 0"]) == []
     assert filter_lints(["id > 5", "id < 100"], "id", 10) == ["id > 5 is subsumed by the committed cursor"]
     assert filter_lints(["a = null"]) == ["a = null is never true"]
+
+
+def test_gcd_of_any_size(spark):
+    rng = random.Random(1)
+    fib = [1, 1]
+    while fib[-1] + fib[-2] < 2**63:
+        fib.append(fib[-1] + fib[-2])
+    pairs = [(fib[-1], fib[-2]), (0, 0), (0, 7), (7, 0), (-12, 18), (2**63 - 1, 2**62), (None, 3)] + [(rng.randrange(2**k), rng.randrange(2**k)) for k in range(1, 63)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    got = project(df, [("a", "a"), ("b", "b"), ("g", "gcd(a, b)")]).collect()
+    assert all(r.g == (None if r.a is None else math.gcd(r.a, r.b)) for r in got)

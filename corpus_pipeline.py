@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from sluice.llm import langid, packing, secrets, simhash, winnow
 from sluice.llm.common import cut, table
 
+#: A language is identified if it is likelier than all others together; scores are calibrated.
+LANGUAGE_SCORE = 0.5
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, those without a letter, go."""
-    return langid.keep_identified(docs, langid.learn_model(docs))
+    """``lang`` becomes the language that the text shows; it stays as given where the text shows none.
+
+    Documents without a language go: those without a letter, and those that show none and came without one.
+    """
+    return langid.keep_identified(docs, langid.learn_model(docs), LANGUAGE_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +35,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the sequences."""
-    return packing.pack_documents(docs)
+    """The pieces of all documents, their places in the sequences and their languages."""
+    return packing.pack_documents(docs, also=("lang",))
 
 
 STAGES = [

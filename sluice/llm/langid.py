@@ -251,13 +251,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with ``min_score`` or more."""
-    names, at = docs.columns, docs.columns.index("text")
+    """The rows of ``docs`` that have a language, with all their columns; ``lang`` says which.
+
+    It is the one predicted from the whole text, if with ``min_score`` or more, else the one that the row came
+    with.  Rows with neither go, and so do those whose text is null or has no letter.
+    """
+    names, at, lang_at = docs.columns, docs.columns.index("text"), docs.columns.index("lang")
+
+    def language(text: str | None, given: str | None) -> str | None:
+        lang, score = model.predict(text)
+        if lang == UNDETERMINED or score < min_score:
+            lang = given if has_letter(text) else None
+        return None if lang == UNDETERMINED else lang
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [model.predict(t) for t in batch.column(at).to_pylist()]
-            keep = pa.array([lang != UNDETERMINED and score >= min_score for lang, score in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays(batch.columns, names).filter(keep)
+            found = [language(t, g) for t, g in zip(batch.column(at).to_pylist(), batch.column(lang_at).to_pylist())]
+            columns = list(batch.columns)
+            columns[lang_at] = pa.array(found, columns[lang_at].type)
+            yield pa.RecordBatch.from_arrays(columns, names).filter(columns[lang_at].is_valid())
 
     return docs.mapInArrow(run, docs.schema)

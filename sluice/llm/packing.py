@@ -34,10 +34,13 @@ END_ID = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, within long"
 
 
-def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def token_pieces(
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, also: tuple[str, ...] = ()
+) -> DataFrame:
     """The pieces of every whole text: ids and ``end_id``, cut only beyond ``capacity``.
 
-    ``part`` is the partition and ``within`` counts its pieces of one length from 0.
+    ``part`` is the partition and ``within`` counts its pieces of one length from 0.  The columns ``also``
+    of a document follow with each of its pieces, as ``also_0`` and so on.
     """
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     tail = np.uint32(end_id).astype("<u4").tobytes()
@@ -47,7 +50,8 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         seen = [0] * (capacity + 1)
         for batch in slices(batches):
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows: list[int] = []
+            for row, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 ids = encoder.ids(text or "") + tail
                 n, at, piece = len(ids) // 4, 0, 0
                 while at < n:
@@ -55,14 +59,23 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
                     crc = zlib.crc32(ids[4 * at : 4 * (at + length)])
                     for column, value in zip(out, (doc_id, piece, at, length, crc, part, seen[length])):
                         column.append(value)
+                    rows.append(row)
                     seen[length] += 1
                     at += length
                     piece += 1
             if out[0]:
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [c.split()[0] for c in PIECES.split(", ")])
+                carried = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, types)), *carried], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    carried_as = _carried(also)
+    names = [*(c.split()[0] for c in PIECES.split(", ")), *carried_as]
+    types = [docs.schema[c].dataType.simpleString() for c in also]
+    return docs.select("doc_id", "text", *also).mapInArrow(run, ", ".join([PIECES, *map(" ".join, zip(carried_as, types))]))
+
+
+def _carried(also: tuple[str, ...]) -> list[str]:
+    return [f"also_{k}" for k in range(len(also))]
 
 
 class _Sizes:
@@ -210,8 +223,8 @@ def _places(patterns: Counter) -> dict[int, tuple[np.ndarray, ...]]:
     return {size: tuple(np.array(c, np.int64) for c in zip(*r)) for size, r in rows.items()}
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to the rows of ``token_pieces``, which must be materialised.
+def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, also: tuple[str, ...] = ()) -> DataFrame:
+    """Add sequence_id and offset to the rows of ``token_pieces``, which must be materialised; ``also`` comes last.
 
     Only the histogram of lengths (at most ``capacity`` rows) comes to the driver.
     """
@@ -224,7 +237,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = F.sum("count").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     first = cut(by_part.select("length", "part", F.coalesce(before, F.lit(0)).alias("first")), most)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = pieces.join(if_small(first), ["length", "part"]).select(*names, (F.col("first") + F.col("within")).alias("rank"))
+    ranked = pieces.join(if_small(first), ["length", "part"]).select(*names, (F.col("first") + F.col("within")).alias("rank"), *_carried(also))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,17 +250,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 inner = ranks[at] - firsts[p]
                 bins[at] = bases[p] + inner // each[p]
                 offsets[at] = starts[p] + inner % each[p] * size
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets)], [*names, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bins), pa.array(offsets), *batch.columns[6:]], [*names, "sequence_id", "offset", *also])
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return ranked.mapInArrow(place, out)
+    types = [pieces.schema[c].dataType.simpleString() for c in _carried(also)]
+    return ranked.mapInArrow(place, ", ".join([out, *(f"`{c}` {t}" for c, t in zip(also, types))]))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, also: tuple[str, ...] = ()) -> DataFrame:
     """Pack all ``docs`` into sequences of at most ``capacity`` tokens; one row per piece.
 
     A null or empty text is the end token alone; repeated rows are packed each; a null
     doc_id stays null.  A text beyond ``capacity`` tokens is cut into full pieces, of which the
-    first may be shorter.  An empty table gives no rows; other columns are not read.
+    first may be shorter.  An empty table gives no rows.  The columns ``also`` follow, as the document has
+    them, under names that no result has; others are not read.
     """
-    return pack_pieces(cut(token_pieces(docs, tokenizer, capacity)), capacity)
+    return pack_pieces(cut(token_pieces(docs, tokenizer, capacity, also=also)), capacity, also)

@@ -45,6 +45,29 @@ def test_nothing_to_learn_from(spark):
     assert L.predict(empty, L.learn_model(empty)).count() == 0
 
 
+def test_the_language_kept_is_the_one_the_text_shows(spark):
+    weights = np.zeros((L.SIZE + 1, 3))
+    for k, word in enumerate(("kala", "über", "ñandú")):
+        weights[np.flatnonzero(L.ngram_counts(word)), k] = 50.0
+    model = L.Model.of(["aa", "bb", L.UNDETERMINED], np.ones(L.SIZE), weights)
+    rows = [
+        (1, "kala", "bb", "aa"),
+        (2, "über", None, "bb"),
+        # no gram that was learnt: a third for each
+        (3, "жщю", "ru", "ru"),
+        (4, "жщю", None, None),
+        (5, "жщю", L.UNDETERMINED, None),
+        # shows the label that says there is none
+        (6, "ñandú", "aa", "aa"),
+        (7, "ñandú", None, None),
+        (8, "12 !", "aa", None),
+        (9, None, "aa", None),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang for r in L.keep_identified(df, model, 0.5).collect()}
+    assert got == {r[0]: r[3] for r in rows if r[3]}
+
+
 def test_elastic_net_makes_weights_sparse():
     rng = np.random.default_rng(1)
     learner = L.FtrlProximal(2, l1=0.5)

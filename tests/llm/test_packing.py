@@ -104,3 +104,12 @@ def test_a_million_equal_rows(spark, monkeypatch, bound):
 
 def test_empty_table(spark):
     assert K.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_other_columns_follow_each_piece(spark):
+    rows = [(1, "a b c", "aa", 7), (2, "word " * 3000, None, 8), (None, None, "bb", None), (3, "x", "aa", 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, rank int").repartition(2)
+    got = K.pack_documents(df, also=("lang",)).collect()
+    assert {(r.doc_id, r.lang) for r in got} == {(r[0], r[2]) for r in rows}
+    assert len(got) == K.pack_documents(df).count() > len(rows)
+    assert {r["rank"] for r in K.pack_documents(df.drop("lang"), also=("rank",)).collect()} == {7, 8, None, 9}

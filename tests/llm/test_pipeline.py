@@ -77,6 +77,28 @@ def test_the_chain_against_brute_force(spark, tmp_path):
     assert max(ends.values()) <= 1024
 
 
+def test_the_languages_found_are_in_the_result(spark, tmp_path):
+    rng = random.Random(5)
+    words = {"aa": "kala mora tilu sana beko nuri", "bb": "über schön grüße straße weiß blau", "cc": "ñandú acción según año niño"}
+    rows, want = [], {}
+    for i in range(150):
+        lang = sorted(words)[i % 3]
+        text = " ".join(rng.choice(words[lang].split()) for _ in range(rng.randint(20, 60)))
+        # a third without a label, some with a wrong one
+        rows.append((i, text, None if i // 3 % 3 == 0 else "aa" if i % 30 == 4 else lang, "s", 1, 1, 2, 3))
+        want[i] = lang
+    assert any(r[2] is not None and r[2] != want[r[0]] for r in rows)
+    # shows no learned language; the second, held out, came with one
+    strange = "жщюэ цъы шчф"
+    rows += [(901, strange + " й", None, "s", 1, 1, 2, 3), (902, strange * 9, "ru", "s", 1, 1, 2, 3)]
+    assert zlib.crc32(b"902") % 4 == 2
+    want[902] = "ru"
+    got = corpus_pipeline.run(spark, _write(spark, tmp_path, rows, [])).collect()
+    found = {r.doc_id for r in got}
+    assert 902 in found and 901 not in found and len(found) > 100
+    assert all(r.lang == want[r.doc_id] for r in got)
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     rows, items = _tables()
     folder = _write(spark, tmp_path, rows[:40], items)

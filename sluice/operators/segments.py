@@ -13,13 +13,15 @@ from sluice.storage import cut
 
 TARGET_ROWS = 4_194_304
 TARGET_BYTES = 256 << 20
+# fixed value: up to this many segments have a folder each, beyond it small ones share theirs
+FOLDERS = 128
 
 
-def with_ordinal(df: DataFrame, order_by: Sequence[str], name: str = "_ordinal") -> DataFrame:
+def with_ordinal(df: DataFrame, order_by: Sequence[str], name: str = "_ordinal", total: str | None = None) -> DataFrame:
     """Number the rows from 0 in a total order, without bringing them into one task.
 
     Rows are dealt by range and sorted in their tasks; what is added to a task's numbers is the
-    count of the ranges before it, one number per task.
+    count of the ranges before it, one number per task.  A column ``total`` gets the count of all rows.
     """
     if not order_by:
         raise ContractError("package order needs columns")
@@ -29,7 +31,8 @@ def with_ordinal(df: DataFrame, order_by: Sequence[str], name: str = "_ordinal")
     part = F.shiftright("__at", 33).alias("__part")
     counts = dealt.groupBy(part).count()
     before = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(F.col("__part").alias("__of"), before.alias("__start"))  # a row for each task at most
+    whole = [F.sum("count").over(W.partitionBy()).alias(total)] if total else []
+    starts = counts.select(F.col("__part").alias("__of"), before.alias("__start"), *whole)  # a row for each task at most
     numbered = dealt.join(F.broadcast(starts), F.shiftright("__at", 33) == F.col("__of"))
     within = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.withColumn(name, (F.col("__start") + within).cast("bigint")).drop("__at", "__of", "__start")
@@ -40,6 +43,16 @@ def with_segment(ordered: DataFrame, target_rows: int = TARGET_ROWS, ordinal: st
     return ordered.withColumn(name, F.floor(F.col(ordinal) / target_rows).cast("bigint"))
 
 
+def with_folder(rows: DataFrame, total: str, target_rows: int = TARGET_ROWS, folders: int = FOLDERS, segment: str = "_segment", name: str = "__first_segment") -> DataFrame:
+    """The first segment of those that share a folder with the row's own, which follow each other.
+
+    Files cost the driver time by their number, so that it has to grow with the rows and not with the segments.  Segments
+    share no more than brings them down to ``folders``, and no more than ``TARGET_ROWS`` rows.
+    """
+    together = F.least(F.ceil(F.ceil(F.col(total) / target_rows) / folders), F.lit(max(1, TARGET_ROWS // target_rows)))
+    return rows.withColumn(name, F.col(segment) - F.col(segment) % together)
+
+
 def segments_by_bytes(sizes: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Segments of (batch, bytes) rows: a segment closes with the batch that brings it to the target."""
     before = F.coalesce(F.sum("bytes").over(W.orderBy("batch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -17,12 +17,13 @@ from pyspark.sql import types as T
 
 from sluice.errors import DeliveryError
 from sluice.operators.schema import fingerprint
-from sluice.operators.segments import TARGET_ROWS, with_ordinal, with_segment
+from sluice.operators.segments import TARGET_ROWS, with_folder, with_ordinal, with_segment
 from sluice.operators.statistics import profile, segment_and_package
 from sluice.storage import Folder
 
 # fixed values: the stages of a package's life, in order
 STATUSES = ("planned", "extracting", "validated", "packaged", "loading", "loaded", "committed", "checkpointed", "archived")
+_FOLDER = "__first_segment"
 
 
 @dataclass(frozen=True)
@@ -54,6 +55,11 @@ def content_hash(df: DataFrame) -> tuple[str, int]:
     return _digest(df.schema, df.agg(*_row_hashes(df.schema)).first().asDict())
 
 
+def read_segments(spark: SparkSession, base: str) -> DataFrame:
+    """The segments of the package in a folder, with ``_segment`` if they are numbered."""
+    return spark.read.parquet(f"{base}/segments").drop(_FOLDER)
+
+
 class Packages:
     """Packages under one folder."""
 
@@ -66,22 +72,27 @@ class Packages:
     ) -> Package:
         """Write a package; the manifest comes last, so a package without one was never finished.
 
-        With ``order_by`` rows are numbered in that order and cut into segments of ``target_rows``; without, each
-        task's files are its segments and no shuffle is needed.
+        With ``order_by`` rows are numbered in that order and cut into segments of ``target_rows``, which their column
+        ``_segment`` tells; small ones that follow each other share a folder when there are many.  Without, each task's
+        files are its segments and no shuffle is needed.
         """
         if self.folder.exists(f"{package_id}/manifest.json"):
             return self.open(package_id)
         self.folder.delete(package_id)
         base = f"{self.root}/{package_id}"
-        out = with_segment(with_ordinal(rows, order_by), target_rows).drop("_ordinal") if order_by else rows
+        out = rows
+        if order_by:
+            numbered = with_segment(with_ordinal(rows, order_by, total="_total"), target_rows)
+            foldered = with_folder(numbered, "_total", target_rows, name=_FOLDER)
+            out = foldered.sortWithinPartitions(_FOLDER, "_ordinal").drop("_ordinal", "_total")  # the order in which folders are written
         seen = Observation()
         writer = out.observe(seen, *_row_hashes(rows.schema)).write.option("compression", "zstd")  # hashed by the tasks that write
         if order_by:
-            writer.partitionBy("_segment").parquet(f"{base}/segments")
+            writer.partitionBy(_FOLDER).parquet(f"{base}/segments")
         else:
             writer.option("maxRecordsPerFile", target_rows).parquet(f"{base}/segments")
         if statistics:
-            written = self.spark.read.parquet(f"{base}/segments")
+            written = read_segments(self.spark, base)
             stats = segment_and_package(written, "_segment") if order_by else profile(written.select(*rows.columns))
             stats.write.parquet(f"{base}/statistics")
         quarantined = 0
@@ -94,6 +105,7 @@ class Packages:
             "package_id": package_id, "package_hash": digest, "schema_hash": fingerprint(rows.schema), "schema": json.loads(rows.schema.json()), "row_count": n,
             "quarantined": quarantined, "status": "packaged", "segments": self._segments(package_id), "lineage": list(lineage),
         }
+        manifest["segment_count"] = -(-n // target_rows) if order_by else len(manifest["segments"])
         self.folder.write(f"{package_id}/manifest.json", json.dumps(manifest, sort_keys=True))
         return Package(base, package_id, digest, manifest["schema_hash"], n)
 

@@ -92,8 +92,9 @@ def flatten_change_stream(events: DataFrame, document_schema: str, key: str = "_
 
 def replay(spark: SparkSession, package_path: str) -> DataFrame:
     """The segments of a finished package; one without a manifest was never finished and is refused."""
+    from sluice.sinks.package import read_segments
     from sluice.storage import Folder
 
     if not Folder(spark, package_path).exists("manifest.json"):
         raise ContractError(f"{package_path} has no manifest")
-    return spark.read.parquet(f"{package_path.rstrip('/')}/segments")
+    return read_segments(spark, package_path.rstrip("/"))

@@ -61,7 +61,7 @@ def mount(spark: SparkSession, lake: Lake, packages: Packages, ledger: Ledger, r
     for m in packages.all():
         own = by_token.get(m["package_hash"], [])
         key = {"package_hash": m["package_hash"], "package_id": m["package_id"]}
-        rows["packages"].append(key | {"package_path": f"{packages.root}/{m['package_id']}", "status": m["status"], "identity_file_count": len(m["segments"]), "segment_count": len(m["segments"]), "receipt_count": len(own)})
+        rows["packages"].append(key | {"package_path": f"{packages.root}/{m['package_id']}", "status": m["status"], "identity_file_count": len(m["segments"]), "segment_count": m.get("segment_count", len(m["segments"])), "receipt_count": len(own)})
         for i, s in enumerate(m["segments"]):
             rows["package_files"].append(key | s)
             rows["package_segments"].append(key | {"segment_id": f"{i:06d}", **s})

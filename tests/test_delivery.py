@@ -106,6 +106,34 @@ def test_packages(spark, tmp_path):
         replay(spark, f"{packages.root}/half")
 
 
+def test_small_segments_share_folders(spark, lake, tmp_path):
+    packages = Packages(spark, f"file://{tmp_path}/packages")
+    df = spark.range(601).select((600 - F.col("id")).alias("k"), F.col("id").alias("v"))
+    built = packages.build("p1", df.repartition(5), order_by=["k"], target_rows=2, statistics=True)
+    manifest = packages.manifest("p1")
+    assert len({s["path"].rpartition("/")[0] for s in manifest["segments"]}) == 101  # 301 segments, three to a folder
+    system.mount(spark, lake, packages, Ledger(Folder(spark, f"file://{tmp_path}/ledger")))
+    assert system.system_sql(spark, "SELECT segment_count FROM packages").first()[0] == 301 and built.row_count == 601 and packages.verify("p1").row_count == 601
+    back = replay(spark, built.path)
+    assert sorted(back.columns) == ["_segment", "k", "v"] and rows(back, "k", "v", "_segment") == [(k, 600 - k, k // 2) for k in range(601)]
+    profiles = spark.read.parquet(f"{built.path}/statistics")
+    assert profiles.where("_segment is not null").select("_segment").distinct().count() == 301
+    assert {r["column"] for r in profiles.select("column").distinct().collect()} == {"k", "v"}
+
+
+def test_shared_folders_hold_as_many_rows_as_one_segment_may(spark):
+    from sluice.operators.segments import TARGET_ROWS, with_folder
+
+    def first(total, target, segment):
+        row = spark.createDataFrame([(total, segment)], "total bigint, _segment bigint")
+        return with_folder(row, "total", target).first()["__first_segment"]
+
+    assert [first(128 * 500, 500, s) for s in (0, 1, 127)] == [0, 1, 127]  # as many segments as folders
+    assert [first(128 * 500 + 1, 500, s) for s in (1, 2, 128)] == [0, 2, 128]
+    assert [first(10**12, 1 << 20, s) for s in (3, 4, 900_001)] == [0, 4, 900_000]  # four to a folder, whatever the total
+    assert first(10**12, TARGET_ROWS, 77) == 77 and first(10**12, TARGET_ROWS * 2, 77) == 77
+
+
 def receipt(n):
     return Receipt(f"r{n}", "t", "append", f"p{n}", "s")
 
